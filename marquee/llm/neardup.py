@@ -8,11 +8,10 @@ similarity of the sets. Texts with equal sets are one class; a class's bins are
 that share a band are candidates.
 
 No band expands into all its pairs. (1) Every class of a band is verified against the band's least class,
-its hub, on full sets, and links give components. (2) Classes that this leaves outside their hub's component
-are paired with the rest of the band, but for pairs already joined, pairs whose sizes rule a link out, and
-pairs that the triangle inequality of the Jaccard distance through the hub rules out; what remains is
-verified in turn. So of the pairs that share a band every link counts. A pair at the threshold of 0.8
-shares none of 42 bands of 6 with a probability of 3e-6.
+its hub, on full sets, and links give components. (2) The classes that share a band with a hub of another
+component are that component's outsiders: they are queried, in blocks of bounded size, against all classes
+that share a band with the component, and only the links come out. So every link of two texts that share a
+band counts. A pair at the threshold of 0.8 shares none of 42 bands of 6 with a probability of 3e-6.
 
 Copies: classes are found by aggregation, so a third of all rows being one text makes one class; joins on
 hubs and classes read written tables on both sides, so that adaptive execution can split them.
@@ -116,6 +115,58 @@ def _shared(k: int) -> callable:
     return run
 
 
+def _block_links(k: int, percent: int) -> callable:
+    """Links between the two sides of each block; rows come ordered by block."""
+
+    def links(rows: list[tuple]) -> Iterator[tuple]:
+        left, right = [r for r in rows if r[0]], [r for r in rows if not r[0]]
+        if not left or not right:
+            return
+        sets = shingle_sets([r[3] for r in left] + [r[3] for r in right], k)
+        own, other = sets[: len(left)], sets[len(left) :]
+        known = np.unique(np.concatenate(own))
+        a = np.zeros((len(own), len(known)), dtype=np.float32)
+        b = np.zeros((len(other), len(known)), dtype=np.float32)
+        for i, s in enumerate(own):
+            a[i, np.searchsorted(known, s)] = 1
+        for i, s in enumerate(other):
+            at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+            b[i, at[known[at] == s]] = 1
+        shared = np.rint(a @ b.T).astype(np.int64)
+        sizes = np.array([len(s) for s in own])[:, None] + np.array([len(s) for s in other])[None, :]
+        for i, j in np.argwhere(100 * shared >= percent * (sizes - shared)).tolist():
+            if left[i][2] != right[j][2]:
+                yield max(left[i][1], right[j][1]), min(left[i][1], right[j][1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, block, kind = [], None, None
+        for part in slices(batches, 256, 8 << 20):
+            kind, found = part.schema.field(4).type, []
+            for *key, role, i, component, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                if key != block:
+                    found += links(held)
+                    held, block = [], key
+                held.append((role, i, component, text))
+            yield pa.RecordBatch.from_arrays([pa.array([f[n] for f in found], kind) for n in (0, 1)], ["u", "v"])
+        if held:
+            found = list(links(held))
+            yield pa.RecordBatch.from_arrays([pa.array([f[n] for f in found], kind) for n in (0, 1)], ["u", "v"])
+
+    return run
+
+
+def _between(groups: DataFrame, texts: DataFrame, k: int, percent: int, kind: str, left: int = 128, right: int = 512) -> DataFrame:
+    """Links of the outsiders of each group (g, id, part) with all its members, in blocks of about left x right texts."""
+    groups = groups.withColumn("out", F.col("part") != F.col("g"))
+    sizes = groups.groupBy("g").agg(F.count_if("out").alias("nu"), F.count("*").alias("nv")).where("nu > 0 and nv > 1")
+    sized = groups.join(sizes, "g").withColumns({"bu": F.ceil(F.col("nu") / left).cast("int"), "bv": F.ceil(F.col("nv") / right).cast("int")})
+    spread = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    mine = sized.where("out").select("g", F.pmod(F.xxhash64("id"), F.col("bu")).cast("int").alias("bu"), F.explode(spread("bv")).alias("bv"), F.lit(True).alias("role"), "id", "part")
+    rest = sized.select("g", F.explode(spread("bu")).alias("bu"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("bv")).cast("int").alias("bv"), F.lit(False).alias("role"), "id", "part")
+    blocks = mine.union(rest).join(texts, "id").select("g", "bu", "bv", "role", "id", "part", "text")
+    return blocks.repartition("g", "bu", "bv").sortWithinPartitions("g", "bu", "bv").mapInArrow(_block_links(k, percent), f"u {kind}, v {kind}")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, kind: str) -> DataFrame:
     """pairs (u, v, n_u, n_v) with the number of shared shingles."""
     left = texts.select(F.col("id").alias("u"), F.col("text").alias("text_u"))
@@ -147,19 +198,11 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, bands: int = 4
     found = counted.where(linked).select("u", "v")
     parts = written(components(found), "parts")
 
-    distance = counted.select(F.col("u").alias("rep"), F.col("v").alias("hub"), (1 - F.col("shared") / (F.col("n_u") + F.col("n_v") - F.col("shared"))).alias("far"))
     of = lambda df, column, name: df.join(parts.select(F.col("id").alias(column), F.col("component").alias(name)), column, "left").withColumn(name, F.coalesce(name, column))
-    placed = written(of(of(members, "rep", "part"), "hub", "hub_part").join(distance, ["rep", "hub"], "left").select("key", "rep", "n", "part", "hub_part", "far"), "placed")
-    out = placed.where("part <> hub_part").select("key", F.col("rep").alias("u"), F.col("n").alias("n_u"), F.col("part").alias("part_u"), F.col("far").alias("far_u"))
-    rest = placed.select("key", F.col("rep").alias("v"), F.col("n").alias("n_v"), F.col("part").alias("part_v"), F.col("far").alias("far_v"), (F.col("part") != F.col("hub_part")).alias("out_v"))
-    # d(u, v) >= |d(u, hub) - d(v, hub)|, so a link needs the two within 1 - percent / 100; a margin covers rounding.
-    near = F.coalesce(F.abs(F.col("far_u") - F.col("far_v")) <= 1 - percent / 100 + 1e-9, F.lit(True))
-    pairs = out.join(rest, "key").where((F.col("part_u") != F.col("part_v")) & fits(F.col("n_u"), F.col("n_v")) & near & (~F.col("out_v") | (F.col("u") > F.col("v"))))
-    pairs = written(pairs.groupBy("u", "v").agg(F.first("n_u").alias("n_u"), F.first("n_v").alias("n_v")), "pairs")
-    more = pairs.join(_verified(pairs, texts, k, kind), ["u", "v"]).where(linked).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    merged = written(more, "more-links")
-    if merged.take(1):
-        parts = written(components(found.union(merged)), "parts")
+    groups = written(of(of(members.select("rep", "hub").distinct(), "rep", "part"), "hub", "g").select("g", F.col("rep").alias("id"), "part").distinct(), "groups")
+    more = written(_between(groups, texts, k, percent, kind).distinct(), "more-links")
+    if more.take(1):
+        parts = written(components(found.union(more)), "parts")
 
     # Classes whose component isn't that of the row's own id: those with links, and those with copies.
     moved = of(classes.select("k1", "k2", "rep"), "rep", "part").select("k1", "k2", F.col("part").alias("component"))
