@@ -116,7 +116,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """The words of some texts as arrays. hashes: 64 bits a word; doc: the text of each word; first: each text's first word, and the end."""
+    """The words of some texts as arrays. hashes: 64 bits a word; doc: the text of each word; first: each text's first word, and the end.
+
+    Over UTF-8 bytes: white space and A-Z are single bytes there. strip: further bytes that part words."""
 
     def __init__(self, texts: list[str | None], lower: bool = True, strip: bytes = b""):
         raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
@@ -141,3 +143,32 @@ class Words:
 
     def __len__(self) -> int:
         return len(self.start)
+
+
+class Characters:
+    """The code points of some texts, each text closed by a newline. doc: the text of each; blank: white space."""
+
+    def __init__(self, texts: list[str | None]):
+        raw = [(t or "") + "\n" for t in texts]
+        self.points = np.frombuffer("".join(raw).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        self.doc = np.repeat(np.arange(len(raw)), [len(r) for r in raw])
+        self.blank = (self.points == 32) | (self.points >= 9) & (self.points <= 13)
+
+
+def total(doc: np.ndarray, weights: np.ndarray | None, docs: int) -> np.ndarray:
+    """The sum of weights (None: the count) for each text."""
+    return np.bincount(doc, weights, docs)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, cap: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(label, text) of about cap documents a label value at most, by a hash of the id: the bound of a training set.
+
+    Of several labels for an id the largest counts. The sampled ids, bounded by the cap, are broadcast."""
+    known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label).alias("label"))
+    sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}  # a row a label value
+    if not sizes:
+        return docs.sparkSession.createDataFrame([], "label int, text string")
+    draw = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1_000_000))
+    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, int(1_000_000 * min(1.0, cap / n)))])
+    drawn = known.where(draw < share[F.col("label")])
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "id").select("label", "text")

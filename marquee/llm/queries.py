@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm import neardup, packing, pieces
+from marquee.llm import language, neardup, packing, pieces, quality, toxicity
+from marquee.llm.common import fold
 
 
 def vocabulary(name: str) -> str:
@@ -26,6 +27,20 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.where(fold("doc_id", 4) != 2))
+    rows = docs.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "text")
+    return language.identify(rows, model).select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    weights = toxicity.fit(docs, labels.where(fold("doc_id", 5) != 0), "toxic")
+    rows = docs.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "text")
+    return toxicity.predicted(toxicity.score(rows, weights).drop("text"), 0.5)
+
+
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), digests=True)
 
@@ -34,10 +49,20 @@ def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels.where(fold("doc_id", 5) != 0), "quality")
+    rows = docs.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "text")
+    return toxicity.predicted(quality.score(rows, model).drop("text"), 0.3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op3_language": op3_language,
     "op4_pieces": op4_pieces,
+    "op5_toxicity": op5_toxicity,
     "op8_neardup": op8_neardup,
+    "op9_quality": op9_quality,
 }
 
 ORACLES: dict[str, str] = {}
