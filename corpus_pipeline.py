@@ -1,8 +1,75 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: toxicity, language, near-duplicates, secrets, packing.
 
-STAGES = []
+Each stage works on all that its predecessor kept, and each is written as Parquet and read again. Models
+are learned from the labelled rows of the stage's own input."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marquee.llm import language, neardup, packing, queries, secrets, toxicity
+from marquee.llm.common import fold, new_path, written
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that score 0.5 or more."""
+    labels = queries.table(spark, sf_dir, "labels")
+    weights = toxicity.fit(docs, labels.where(fold("doc_id", 5) != 0), "toxic")
+    return toxicity.score(docs.select(COLUMNS), weights, name="toxic_score").where("toxic_score < 0.5").select(COLUMNS)
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a language, and those told with confidence to be in another than they claim.
+
+    A document that claims none takes what is found."""
+    model = language.fit(docs.where(fold("doc_id", 4) != 2))
+    found = language.identify(docs.select(COLUMNS), model)
+    wrong = F.coalesce((F.col("lang") != F.col("lang_pred")) & (F.col("lang_score") >= 0.9), F.lit(False))
+    return found.where((F.col("lang_pred") != "und") & ~wrong).withColumn("lang", F.coalesce("lang", "lang_pred")).select(COLUMNS)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the least id of each group of near copies: five-word shingles, similarity 0.8."""
+    groups = neardup.near_duplicates(docs, k=5, percent=80)
+    dropped = written(groups.where(~F.col("kept")).select("doc_id").distinct(), "dropped")
+    return docs.select(COLUMNS).join(dropped, "doc_id", "left_anti").select(COLUMNS)
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces secrets by a mark; no document goes."""
+    found = secrets.find_secrets(docs.select(COLUMNS))
+    text = F.col("found.redacted")
+    return found.withColumn("text", text).withColumn("n_chars", F.when(F.col("found.spans") != "", F.char_length(text).cast("long")).otherwise(F.col("n_chars"))).select(COLUMNS)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs all that is left into windows of 4096 tokens."""
+    out = packing.pack(docs, queries.vocabulary("word_bpe_49k.json"))
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxicity_stage),
+    ("language", language_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("secrets", secret_stage),
+    ("packing", packing_stage),
+]
+
+#: Learned models and tokenizers have no SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents, each written as Parquet in the shared folder and read again."""
+    docs = queries.table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = new_path(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

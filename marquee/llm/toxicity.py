@@ -58,7 +58,7 @@ class Weights:
     bits: int
 
 
-def ftrl(rows: list[tuple[np.ndarray, int]], bits: int, alpha: float = 0.1, beta: float = 1.0, l1: float = 1.5, l2: float = 1.0, epochs: int = 4, seed: int = 7) -> Weights:
+def ftrl(rows: list[tuple[np.ndarray, int]], bits: int, alpha: float = 0.3, beta: float = 1.0, l1: float = 8.0, l2: float = 1.0, epochs: int = 4, seed: int = 7) -> Weights:
     """FTRL-proximal over presence features; the bias is not penalised."""
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
     zb = nb = 0.0
@@ -78,7 +78,7 @@ def ftrl(rows: list[tuple[np.ndarray, int]], bits: int, alpha: float = 0.1, beta
     return Weights(places, w[places], float(-zb / ((beta + np.sqrt(nb)) / alpha)) if nb else 0.0, bits)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", cap: int = 2500, bits: int = 18, **options) -> Weights:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", cap: int = 4000, bits: int = 18, **options) -> Weights:
     """Weights from at most about cap documents a label value; docs and labels: the rows to learn from."""
     ready(docs.sparkSession)
     rows = labelled_sample(docs, labels, label, cap).mapInArrow(_collect(bits), "label int, places binary").collect()
