@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm import language, neardup, packing, pieces, quality, rules, secrets, toxicity, warc
+from marquee.llm import language, media, neardup, packing, pieces, quality, rules, secrets, toxicity, warc
 from marquee.llm.common import fold
 
 
@@ -73,6 +73,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predicted(quality.score(rows, model).drop("text"), 0.3)
 
 
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.copies(media.images_of(table(spark, sf_dir, "embeddings")), "id").withColumnRenamed("id", "vec_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_rules": op2_rules,
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_warc": op7_warc,
     "op8_neardup": op8_neardup,
     "op9_quality": op9_quality,
+    "op10_media": op10_media,
 }
 
 ORACLES: dict[str, str] = {
