@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee.functions import text as T
-from marquee.functions import times, urls
-from marquee.operators import resolve, upkeep
+from marquee.functions import html, times, urls
+from marquee.operators import match, resolve, upkeep
 from marquee.operators.store import to_postmeta
 from marquee.plans.registry import _FP, _TITLES, AS_OF, register
 from marquee.sources import bindings as B
@@ -252,3 +252,37 @@ def f15_f33_f34_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = times.venue_date(said)
     city = F.when(n % 3 == 0, "denver").when(n % 3 == 1, "tampa").otherwise("elsewhere")
     return B.listings(spark, sf_dir).select("post_id", times.infer_year((1 + n % 12).cast("int"), "2026-07-01").alias("year"), times.guess_timezone(city).alias("zone"), found.alias("day"), times.dates_close(found, F.date_add(day, (n % 4).cast("int"))).alias("near"))
+
+
+@register(f"WITH {B.POSTS} SELECT post_id, trim(regexp_replace(post_title || ' | Tickets', '(?i){html.TICKET_SUFFIX}', '')) AS title FROM posts")
+def f4_ticket_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.posts(spark, sf_dir).select("post_id", html.strip_ticket_boilerplate(F.concat("post_title", F.lit(" | Tickets"))).alias("title"))
+
+
+_PLAIN = "coalesce(html, '')"
+for _tag in html.SKIPPED_TAGS:
+    _PLAIN = rf"regexp_replace({_PLAIN}, '(?is)<{_tag}\b.*?</{_tag}\s*>', ' ', 'g')"
+_PLAIN = f"regexp_replace({_PLAIN}, '(?s)<[^>]*>', ' ', 'g')"
+for _name, _sign in html.ENTITIES:
+    _PLAIN = f"replace({_PLAIN}, '{_name}', '{_sign.replace(chr(39), chr(39) * 2)}')"
+
+
+@register(rf"SELECT page_id, trim(regexp_replace({_PLAIN}, '[ \t\r\n\f\x0B]+', ' ', 'g')) AS text FROM pages")
+def f25_strip_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.read(spark, sf_dir, "pages").select("page_id", html.strip_html(F.col("html")).alias("text"))
+
+
+def _listed(spark: SparkSession, sf_dir: str, odd: int, ident: str) -> DataFrame:
+    return B.listings(spark, sf_dir).where(F.col("post_id") % 2 == odd).select(F.col("post_id").alias(ident), F.col("post_title").alias("title"), F.substring("start_utc", 1, 10).alias("day"), F.col("source_name").alias("venue_name"), "city_slug")
+
+
+@register()
+def j6_match_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.match_existing(_listed(spark, sf_dir, 1, "seq"), _listed(spark, sf_dir, 0, "post_id"))
+
+
+@register()
+def j9_duplicate_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = B.read(spark, sf_dir, "supplier")
+    side = lambda odd, ident: rows.where(F.col("s_suppkey") % 2 == odd).select(F.col("s_suppkey").alias(ident), F.col("s_nationkey").alias("city_slug"), F.col("s_name").alias("name"))
+    return match.duplicate_sources(side(1, "candidate_id"), side(0, "source_id"))
