@@ -13,7 +13,6 @@ from marquee.plans.registry import _FP, _TITLES, AS_OF, register
 from marquee.sources import bindings as B
 
 _HOST = r"regexp_replace(lower(regexp_extract(url, '://([^/?#:]*)', 1)), '^www\.', '')"
-_LINK = "CAST(post_id AS VARCHAR)"
 
 
 def _linked(c: str = "post_id") -> F.Column:
@@ -215,9 +214,6 @@ def m7_run_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upkeep.cascade_delete({"meta": (B.postmeta(spark, sf_dir).select("meta_id", "post_id"), "post_id")}, gone)["meta"].select("meta_id", "post_id")
 
 
-_H = "CASE WHEN post_id % 4 = 1 THEN 7 ELSE 6 END"
-
-
 @register(f"""WITH {B.LISTINGS}, e AS (SELECT post_id, CAST(start_utc AS TIMESTAMP) AS t, CASE WHEN post_id % 4 = 1 THEN 7 ELSE 6 END AS h FROM listings)
   SELECT post_id, CASE WHEN h = 7 THEN 'America/Denver' ELSE 'America/Chicago' END AS timezone, strftime(t, '%Y-%m-%d %H:%M:%S') AS start_utc, strftime(t - to_hours(h), '%Y-%m-%d %H:%M:%S') AS start_local,
     strftime(t + INTERVAL 2 HOUR, '%Y-%m-%d %H:%M:%S') AS end_utc, strftime(t + INTERVAL 2 HOUR - to_hours(h), '%Y-%m-%d %H:%M:%S') AS end_local FROM e""")

@@ -62,3 +62,10 @@ def test_page_functions(spark):
     assert [r[0] for r in prices.select(html.format_price(F.col("a"), F.col("b"))).collect()] == ["$2", "$2–$4", "$5", ""]
     images = spark.createDataFrame([([("4_3", 900, "x"), ("16_9", 100, "y"), ("16_9", 100, "z")],), ([],), (None,)], "i array<struct<ratio: string, width: int, url: string>>")
     assert [r[0] for r in images.select(html.best_image(F.col("i"))).collect()] == ["y", "", ""]
+
+
+def test_classification_names(spark):
+    part = "struct<name: string>"
+    kind = f"c array<struct<segment: {part}, genre: {part}, subGenre: {part}>>"
+    rows = [([(("Music",), ("Rock",), ("Undefined",)), (("Music",), None, ("",))],), (None,)]
+    assert [r[0] for r in spark.createDataFrame(rows, kind).select(html.classification_names(F.col("c"))).collect()] == [["Music", "Rock"], []]
