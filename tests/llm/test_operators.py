@@ -207,3 +207,11 @@ def test_media_copies(spark):
 def test_crc_of_pieces(spark, docs):
     row = packing.pack(docs.where("doc_id = 1"), vocabulary("word_bpe_49k.json")).select(F.crc32("ids").alias("c"), "sequence_id", "offset").collect()
     assert [tuple(r) for r in row] == [(zlib.crc32(np.array([2], "<u4").tobytes()), 0, 0)]
+
+
+def test_media_copies_meet_beside_unrelated_images(spark):
+    draw = np.random.default_rng(5)
+    vectors = spark.createDataFrame([(i, draw.normal(size=16).tolist()) for i in range(600)], "vec_id long, embedding array<float>")
+    got = {r["id"]: r["group_id"] for r in media.copies(media.images_of(vectors), "id").collect()}
+    assert [i for i in range(600) if i % 20 in (7, 13) and got[i] != i - 1] == []
+    assert all(g == i for i, g in got.items() if i % 20 not in (7, 13))
