@@ -20,71 +20,157 @@ packed as rows of their own; an empty table gives an empty one; other columns ar
 
 from __future__ import annotations
 
-import re
+import unicodedata
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marquee.llm.common import Lookup, ready, slices, written
+from marquee.llm.common import ready, slices, written
 
 #: Largest multiplicity of one length in a combination, and how many frequent lengths serve as its second.
 MOST_TIMES, SECONDS = 64, 8
 
-_CLOSING = ".,!#$%&*|"
-_SPLIT = re.compile("[ \n]")
+#: Kinds of bytes: 1 blank or newline, 2 letter, 4 closing sign, 8 the end of an accented letter.
+_KINDS = np.zeros(256, dtype=np.uint8)
+_KINDS[[10, 32]] = 1
+_KINDS[[*range(65, 91), *range(97, 123)]] = 2
+_KINDS[np.frombuffer(b".,!#$%&*|", dtype=np.uint8)] = 4
+_KINDS[[b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7)]] = 8  # after 0xC3: a letter of Latin-1
+
+
+def _is_small(word: str) -> bool:
+    """Whether a word is of composed Latin letters that are small already."""
+    return word.isalpha() and max(word) < "\u0250" and word.lower() == word and unicodedata.is_normalized("NFC", word)
+
+
+def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The positions starts[i], starts[i] + 1, ... (lengths[i] of each), one run after another."""
+    before = np.cumsum(lengths) - lengths
+    return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))
 
 
 class WordTokens:
-    """Whole-text ids of a vocabulary that drops white space, word by word: blanks and newlines always part its words."""
+    """Whole-text ids of a vocabulary that drops white space, word by word: blanks and newlines always part its words.
+
+    Words are found on the bytes of a whole batch, plain closing signs parted from letters before them; only
+    distinct words are looked up, and their ids are gathered by position. Words that a batch repeats stay known."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int = 300_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.library = Tokenizer.from_file(path)
+        self.library, self.limit = Tokenizer.from_file(path), limit
+        #: For words of small composed letters, which the vocabulary's own normalisation and splitting leave as they are.
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.cores = Lookup(self._cores)
-        self.words = Lookup(self._words)
-
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype="<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _cores(self, cores: list[str]) -> list[bytes]:
-        out: dict[str, bytes] = {}
-        plain = [c for c in cores if c.isascii() and c.isalpha() or c.isalpha() and c.islower()]
+        #: Ids fit 16 bits, which halves what is written and shuffled.
+        self.kind = np.dtype("<u2" if len(self.ends) <= 65536 else "<u4")
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place: dict[bytes, int] = {}
+        self.ids, self.lengths = np.zeros(0, dtype=self.kind), np.zeros(0, dtype=np.int64)
+
+    @staticmethod
+    def _encode(library: object, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _new(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, one after another, and how many each has. Words of small letters share a call."""
+        texts = [w.decode("utf-8", "surrogatepass") for w in words]
+        plain = [i for i, (w, t) in enumerate(zip(words, texts, strict=True)) if w.isalpha() and w.islower() or _is_small(t)]
+        parts, order, lengths = [], [], []
         groups = [plain[i : i + 500] for i in range(0, len(plain), 500)]
-        for group, ids in zip(groups, self._encode([" ".join(g) for g in groups]), strict=True):
+        single = set(range(len(words))).difference(plain)
+        for group, ids in zip(groups, self._encode(self.plain, [" ".join([texts[i] for i in g]) for g in groups]), strict=True):
+            ids = np.array(ids, dtype=self.kind)
             stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(group):  # else a word has more parts than one; then each goes by itself
-                out.update(zip(group, (x.tobytes() for x in np.split(ids, stops[:-1])), strict=True))
-        rest = [c for c in cores if c not in out]
-        out.update(zip(rest, (x.tobytes() for x in self._encode(rest)), strict=True))
-        return [out[c] for c in cores]
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        split, parts = [], set()
-        for w in words:
-            core = w.rstrip(_CLOSING)
-            if core and core[-1].lower().isalpha():  # a letter and a closing sign are never one token
-                split.append((core.lower() if core.isascii() else core, w[len(core) :]))
-            else:
-                split.append((w, ""))
-            parts.update(split[-1])
-        held = self.cores.fill(parts)
-        return [held[a] + held[b] for a, b in split]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        split = [_SPLIT.split(t) if "\n" in t else t.split(" ") for t in texts]
-        held = self.words.fill(set().union(*split))
-        return [b"".join(map(held.__getitem__, words)) for words in split]
+            if len(stops) == len(group):
+                parts.append(ids)
+                order += group
+                lengths.append(np.diff(stops, prepend=0))
+            else:  # a word has more parts than one; then each goes by itself
+                single.update(group)
+        rest = sorted(single)
+        held = self._encode(self.library, [texts[i] for i in rest])
+        parts.append(np.array([i for ids in held for i in ids], dtype=self.kind))
+        lengths.append(np.array([len(ids) for ids in held], dtype=np.int64))
+        lengths, ids = np.concatenate(lengths).astype(np.int64), np.concatenate(parts)
+        back = np.empty(len(words), dtype=np.int64)
+        back[np.array([*order, *rest], dtype=np.int64)] = np.arange(len(words))
+        starts = np.cumsum(lengths) - lengths
+        return ids[_spread(starts[back], lengths[back])], lengths[back]
+
+    def _words(self, texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """The words of all texts, and how many stand before the end of each text.
+
+        A word of ASCII letters is put in small letters; closing signs after a Latin letter are a word of their
+        own, since a letter and such a sign are never one token."""
+        newline, none = pa.scalar("\n", pa.large_string()), pa.scalar("", pa.large_string())
+        closed = pc.binary_join_element_wise(pc.fill_null(texts, "").cast(pa.large_string()), newline, none).cast(pa.large_binary())
+        offsets = np.frombuffer(closed.buffers()[1], dtype=np.int64)[closed.offset : closed.offset + len(closed) + 1]
+        data = np.frombuffer(closed.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
+        kinds = _KINDS[data]
+        gap = np.flatnonzero(kinds & 1)
+        start, end = np.concatenate([[0], gap[:-1] + 1]), gap
+        inner = np.where(kinds & 4, 0, np.arange(len(data), dtype=np.int32))  # the last position that is no closing sign
+        np.maximum.accumulate(inner, out=inner)
+        stop = np.maximum(inner[np.maximum(end - 1, 0)] + 1, start)
+        split = (stop > start) & (stop < end)
+        final = stop[split] - 1
+        accented = (kinds[final] & 8 > 0) & (data[np.maximum(final - 1, 0)] == 0xC3)
+        split[split] = (kinds[final] & 2 > 0) | accented
+        stop = np.where(split, stop, end)
+        letters = np.concatenate([[0], np.cumsum(kinds >> 1 & 1, dtype=np.int32)])
+        small = np.zeros(len(data) + 1, dtype=np.int8)
+        plain = (letters[stop] - letters[start] == stop - start) & (stop > start)
+        small[start[plain]] += 1
+        small[stop[plain]] -= 1
+        data = data | (np.cumsum(small[:-1], dtype=np.int8).astype(np.uint8) << 5)  # sets the bit of small letters
+        kept = data[kinds & 1 == 0]
+        ends = end - np.arange(len(end))  # with the gaps taken out
+        cuts = np.sort(np.concatenate([[0], ends, (ends - (end - stop))[split]])).astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(kept)])
+        last = np.searchsorted(gap, offsets[1:] - offsets[0] - 1)  # the newline that closes each text
+        return words.dictionary_encode(), (np.arange(1, len(end) + 1) + np.cumsum(split))[last]
+
+    def __call__(self, texts: pa.Array, end_id: int) -> pa.Array:
+        """The ids of each text (null: empty) and end_id, as little-endian integers of ``kind``."""
+        if not len(texts):
+            return pa.array([], pa.binary())
+        words, before = self._words(texts)
+        distinct, codes = words.dictionary.to_pylist(), words.indices.to_numpy()
+        at = np.array(list(map(self.place.get, distinct, repeat(-1))), dtype=np.int64)
+        unknown = np.flatnonzero(at < 0)
+        ids, lengths = self._new([distinct[i] for i in unknown.tolist()])
+        at[unknown] = len(self.lengths) + np.arange(len(unknown))
+        known = len(self.lengths)
+        self.ids, self.lengths = np.concatenate([self.ids, ids]), np.concatenate([self.lengths, lengths])
+        starts = np.cumsum(self.lengths) - self.lengths
+        # A text's end is one more word.
+        pool, size = np.append(self.ids, self.kind.type(end_id)), np.append(self.lengths, 1)
+        order = np.insert(at[codes], before, len(self.lengths))
+        out = pool[_spread(np.append(starts, len(self.ids))[order], size[order])]
+        bounds = np.concatenate([[0], np.cumsum(size[order])[before + np.arange(len(before))]]) * self.kind.itemsize
+        least = 0 if len(self.place) < self.limit // 2 else 1
+        again = np.flatnonzero(np.bincount(codes, minlength=len(distinct))[unknown] > least)
+        self.place.update((distinct[unknown[k]], known + j) for j, k in enumerate(again.tolist()))
+        fresh = _spread(starts[known + again], lengths[again])
+        self.ids, self.lengths = np.concatenate([self.ids[: len(self.ids) - len(ids)], self.ids[fresh]]), np.concatenate([self.lengths[:known], lengths[again]])
+        if len(self.place) > self.limit:
+            self._forget()
+        return pa.Array.from_buffers(pa.large_binary(), len(before), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(out)]).cast(pa.binary())
 
 
 _HELD: dict[str, WordTokens] = {}
@@ -94,10 +180,10 @@ def _tokenise(tokenizer: str, end_id: int) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer not in _HELD:
             _HELD[tokenizer] = WordTokens(tokenizer)
-        tokens, end = _HELD[tokenizer], np.array([end_id], dtype="<u4").tobytes()
-        for part in slices(batches, 256, 4 << 20):
-            ids = [x + end for x in tokens([t or "" for t in part.column(1).to_pylist()])]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([np.frombuffer(x, dtype="<u4").astype("<u2").tobytes() if len(tokens.ends) <= 65536 else x for x in ids], pa.binary())], ["id", "doc_tokens", "ids"])
+        tokens = _HELD[tokenizer]
+        for part in slices(batches, 2048, 4 << 20):
+            ids = tokens(part.column(1), end_id)
+            yield pa.RecordBatch.from_arrays([part.column(0), pc.divide(pc.binary_length(ids).cast(pa.int64()), tokens.kind.itemsize), ids], ["id", "doc_tokens", "ids"])
 
     return run
 
