@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -26,13 +28,21 @@ def ready(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; in local mode, where that is unset, a temporary one."""
     held = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not held and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
     return (held or f"/tmp/checkpoints/{spark.sparkContext.applicationId}").rstrip("/")
 
 
+def clear_tables(spark: SparkSession) -> None:
+    """Removes all tables that this application has written to the shared folder. Results that read them end with them."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/marquee/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/marquee/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/marquee/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -43,8 +53,40 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def fold(column: str, parts: int) -> Column:
-    """crc32 of the id as text, modulo parts; null for a null id."""
-    return F.crc32(F.col(column).cast("string").cast("binary")) % parts
+    """crc32 of the id as text, modulo parts; a null id counts as the empty text, whose remainder is 0."""
+    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % parts
+
+
+def quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def without(df: DataFrame, names: Iterable[str]) -> list[str]:
+    """df's columns but for these names, in any case: an operator's results replace columns of the same name."""
+    taken = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in taken]
+
+
+def appended(df: DataFrame, text_col: str, make: Callable, ddl: str, keep: Iterable[str] | None = None, rows: int = 256, most_bytes: int = 1 << 20) -> DataFrame:
+    """The columns of df (or those in keep) and the new ones of ddl, made of the text in Arrow batches.
+
+    make() is called once a task and gives a function from a list of texts to a list of Arrow arrays. A column
+    of df with a new one's name is replaced. The text comes back only if it is among the columns kept."""
+    ready(df.sparkSession)
+    new = T.StructType.fromDDL(ddl)
+    names = without(df if keep is None else df.select([quoted(c) for c in keep]), new.names)
+    known = {f.name: f.dataType for f in df.schema.fields}
+    out = T.StructType([T.StructField(c, known[c], True) for c in names] + [T.StructField(f.name, f.dataType, True) for f in new.fields])
+    held = names.index(text_col) if text_col in names else None
+    given = df.select([quoted(c) for c in names] + ([quoted(text_col)] if held is None else []))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        function = make()
+        for part in slices(batches, rows, most_bytes):
+            texts = part.column(len(names) if held is None else held).to_pylist()
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], *function(texts)], out.names)
+
+    return given.mapInArrow(run, out)
 
 
 def slices(batches: Iterator, rows: int = 512, most_bytes: int = 16 << 20) -> Iterator:
@@ -57,6 +99,12 @@ def slices(batches: Iterator, rows: int = 512, most_bytes: int = 16 << 20) -> It
             yield batch.slice(at, step)
 
 
+def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The positions starts[i], starts[i] + 1, ... (lengths[i] of each), one run after another."""
+    before = np.cumsum(lengths) - lengths
+    return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))
+
+
 class Lookup:
     """token -> value with two generations: holds at most about 2 * limit tokens, keeps those in use."""
 
@@ -160,15 +208,48 @@ def total(doc: np.ndarray, weights: np.ndarray | None, docs: int) -> np.ndarray:
     return np.bincount(doc, weights, docs)
 
 
+def draw_below(cap: int, n: int) -> int:
+    """A bound on a uniform signed 64-bit hash that about 2 * cap + 64 of n rows keep to, all if n is no more."""
+    return min((1 << 63) - 1, -(1 << 63) + ((2 * cap + 64) << 64) // max(1, n))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, cap: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(label, text) of about cap documents a label value at most, by a hash of the id: the bound of a training set.
+    """(label, weight, draw, text) of cap ids a label value at most, those of the least hashes: the bound of a training set.
 
-    Of several labels for an id the largest counts. The sampled ids, bounded by the cap, are broadcast."""
+    weight tells how many labelled ids a drawn one stands for, scaled to a mean of one over all drawn, so that what is
+    learned follows the whole table's mix of labels at every size. Of several labels for an id the largest counts. The
+    drawn ids, bounded by the cap, are broadcast."""
     known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label).alias("label"))
     sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}  # a row a label value
+    kind = labels.schema[label].dataType
     if not sizes:
-        return docs.sparkSession.createDataFrame([], "label int, text string")
-    draw = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1_000_000))
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, int(1_000_000 * min(1.0, cap / n)))])
-    drawn = known.where(draw < share[F.col("label")])
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "id").select("label", "text")
+        return docs.sparkSession.createDataFrame([], T.StructType().add("label", kind).add("weight", "double").add("draw", "long").add("text", "string"))
+    by_label = lambda values: F.create_map(*[x for k, v in values.items() for x in (F.lit(k).cast(kind), F.lit(v))])[F.col("label")]
+    drawn = {k: min(cap, n) for k, n in sizes.items()}
+    scale = sum(drawn.values()) / sum(sizes.values())
+    weight = by_label({k: n / drawn[k] * scale for k, n in sizes.items()})
+    some = known.withColumn("draw", F.xxhash64("id", F.lit(17))).where(F.col("draw") <= by_label({k: draw_below(cap, n) for k, n in sizes.items()}))
+    # At most about 2 * cap rows a label value are ranked.
+    ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("draw", "id"))).where(F.col("rank") <= cap)
+    chosen = ranked.select("id", "label", "draw", weight.alias("weight"))
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("label", "weight", "draw", "text")
+
+
+def bounded_rows(features: DataFrame, name: str, most_bytes: int) -> list:
+    """Rows (label, weight, draw, and binary columns) on the driver: of each label value those of the least draws, within
+    an equal share of most_bytes. They are written first, so nothing is computed twice, and only the rows kept are sent.
+
+    Rows left out by the bound pass their weight on to the label's others."""
+    held = written(features, name)
+    binary = [f.name for f in held.schema.fields if isinstance(f.dataType, T.BinaryType)]
+    labels = max(1, held.select("label").distinct().count())
+    size = sum((F.length(c) for c in binary), F.lit(64)).cast("long")
+    before = Window.partitionBy("label").orderBy("draw", *binary)
+    total = F.sum(size).over(before.rowsBetween(Window.unboundedPreceding, 0))
+    every = F.sum("weight").over(Window.partitionBy("label"))
+    kept = held.select("*", total.alias("total"), every.alias("every")).where(F.col("total") <= most_bytes // labels)
+    rows = kept.drop("total").orderBy("draw", "label", *binary).collect()
+    share = {}
+    for r in rows:
+        share[r["label"]] = share.get(r["label"], 0.0) + r["weight"]
+    return [(r, r["weight"] * r["every"] / share[r["label"]]) for r in rows]

@@ -3,14 +3,15 @@
 Characters other than letters count as one blank, letters in lower case; n-grams of one to three
 characters are hashed into 2**bits places. Document frequencies are counted over all documents that may be
 learned from. Training follows the regularised leader (FTRL) with an elastic net, on a bounded sample of
-``cap`` documents a language at most (a documented bound); a fourth of the sample is kept apart for the
-temperature that calibrates the scores. A term's weight is its share of the text's n-grams times its
+``cap`` documents a language and ``most_bytes`` of features at most (documented bounds; weights restore the whole
+table's mix of languages); a fourth of the sample is kept apart for the temperature that calibrates the scores. A term's weight is its share of the text's n-grams times its
 inverse document frequency, so a text's logits are sums over its n-grams and whole texts of any length are
 scored in one map.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; so is everything if
 nothing can be learned from; equal scores go to the language first in order; repeated rows give repeated
-rows; an empty table gives an empty one; other columns are neither needed nor touched.
+rows; an empty table gives an empty one; a null id is told like any other and never learned from; columns named
+lang_pred or lang_score are replaced, and other columns are not touched.
 """
 
 from __future__ import annotations
@@ -23,8 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import Characters, labelled_sample, mix, ready, slices, total
-from marquee.llm.toxicity import extended
+from marquee.llm.common import Characters, appended, bounded_rows, labelled_sample, mix, ready, slices, total
 
 SCALE, BLANK = 50.0, 32
 _LOWER: np.ndarray | None = None
@@ -80,11 +80,11 @@ def _frequencies(bits: int) -> callable:
 def _examples(bits: int) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 256, 1 << 20):
-            doc, place, _ = grams(part.column(1).to_pylist(), bits)
+            doc, place, _ = grams(part.column(3).to_pylist(), bits)
             keys, counts = np.unique((doc << bits) | place, return_counts=True)
             stops = np.searchsorted(keys, np.arange(1, part.num_rows) << bits)
             rows = [np.split(x, stops) for x in ((keys & ((1 << bits) - 1)).astype("<i4"), counts.astype("<i4"))]
-            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([x.tobytes() for x in r], pa.binary()) for r in rows)], ["label", "places", "counts"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], *(pa.array([x.tobytes() for x in r], pa.binary()) for r in rows)], ["label", "weight", "draw", "places", "counts"])
 
     return run
 
@@ -103,8 +103,8 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], size: int, classes: int, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.05, l2: float = 0.01, epochs: int = 3, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Multinomial FTRL-proximal with L1 and L2 penalties; the bias is not penalised."""
+def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int, float]], size: int, classes: int, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.05, l2: float = 0.01, epochs: int = 3, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Multinomial FTRL-proximal with L1 and L2 penalties, of (places, values, class, weight); the bias is not penalised."""
     z, n = np.zeros((size, classes)), np.zeros((size, classes))
     zb, nb = np.zeros(classes), np.full(classes, 1e-9)
 
@@ -114,26 +114,28 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], size: int, classes: int
     order = np.random.default_rng(seed)
     for _ in range(epochs):
         for k in order.permutation(len(rows)).tolist():
-            at, x, y = rows[k]
+            at, x, y, weight = rows[k]
             za, na = z[at], n[at]
             w, b = solve(za, na), solve(zb, nb, 0.0, 0.0)
             g = _softmax(x @ w + b)
             g[y] -= 1
+            g *= weight
             each = x[:, None] * g
             z[at], n[at] = za + each - (np.sqrt(na + each * each) - np.sqrt(na)) / alpha * w, na + each * each
             zb, nb = zb + g - (np.sqrt(nb + g * g) - np.sqrt(nb)) / alpha * b, nb + g * g
     return solve(z, n), solve(zb, nb, 0.0, 0.0)
 
 
-def fit(docs: DataFrame, cap: int = 800, bits: int = 16, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """docs: the rows to learn from. Frequencies cover all of them, training about cap a language at most."""
+def fit(docs: DataFrame, cap: int = 800, bits: int = 16, most_bytes: int = 64 << 20, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
+    """docs: the rows to learn from. Frequencies cover all of them, training at most cap a language and most_bytes of features."""
     ready(docs.sparkSession)
     docs = docs.where(F.col(lang_col).isNotNull())
     counted = docs.select(F.col(text_col).alias("text")).mapInArrow(_frequencies(bits), "place int, documents long").groupBy("place").agg(F.sum("documents").alias("n")).collect()  # a row a place
     held = {r["place"]: r["n"] for r in counted}
     known = docs.select(id_col, text_col, lang_col)
-    rows = labelled_sample(known, known, lang_col, cap, id_col, text_col).mapInArrow(_examples(bits), "label string, places binary, counts binary").collect()
-    rows = sorted((r["places"], r["counts"], r["label"]) for r in rows if r["places"])
+    sample = labelled_sample(known, known, lang_col, cap, id_col, text_col)
+    found = bounded_rows(sample.mapInArrow(_examples(bits), "label string, weight double, draw long, places binary, counts binary"), "language-sample", most_bytes)
+    rows = [(r["places"], r["counts"], r["label"], weight) for r, weight in found if r["places"]]
     if not rows:
         return None
     documents = held.pop(-1)
@@ -141,14 +143,14 @@ def fit(docs: DataFrame, cap: int = 800, bits: int = 16, id_col: str = "doc_id",
     idf[list(held)] = np.log((documents + 1) / (np.array(list(held.values())) + 1)) + 1
     languages = sorted({r[2] for r in rows})
     examples = []
-    for p, c, label in rows:
+    for p, c, label, weight in rows:
         at, count = np.frombuffer(p, dtype="<i4"), np.frombuffer(c, dtype="<i4")
-        examples.append((at, SCALE * count / count.sum() * idf[at], languages.index(label)))
+        examples.append((at, SCALE * count / count.sum() * idf[at], languages.index(label), weight))
     apart = examples[3::4] if len(examples) >= 16 else examples
     w, bias = ftrl([x for k, x in enumerate(examples) if k % 4 != 3] if len(examples) >= 16 else examples, 1 << bits, len(languages))
-    logits = np.array([x @ w[at] + bias for at, x, _ in apart])
-    truth = np.array([y for *_, y in apart])
-    losses = {t: -np.log(np.maximum(_softmax(logits / t)[np.arange(len(truth)), truth], 1e-12)).mean() for t in np.geomspace(0.2, 8, 75).tolist()}
+    logits = np.array([x @ w[at] + bias for at, x, *_ in apart])
+    truth, shares = np.array([y for *_, y, _ in apart]), np.array([weight for *_, weight in apart])
+    losses = {t: -(shares * np.log(np.maximum(_softmax(logits / t)[np.arange(len(truth)), truth], 1e-12))).mean() for t in np.geomspace(0.2, 8, 75).tolist()}
     return Model(languages, (w * idf[:, None]).astype(np.float32), bias, min(losses, key=losses.get), bits)
 
 
@@ -163,16 +165,15 @@ def predict(texts: list[str | None], model: Model | None) -> tuple[list[str], li
     return [model.languages[k] if ok else "und" for k, ok in zip(best.tolist(), letters.tolist(), strict=True)], np.where(letters, p[np.arange(len(texts)), best], 0.0).tolist()
 
 
-def identify(df: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """All columns of df, with lang_pred and lang_score."""
-    spark = df.sparkSession
-    ready(spark)
-    held = spark.sparkContext.broadcast(model)  # 2**bits places for each language
-    at = df.columns.index(text_col)
+def identify(df: DataFrame, model: Model | None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns of df (or those in keep), with lang_pred and lang_score."""
+    held = df.sparkSession.sparkContext.broadcast(model)  # 2**bits places for each language
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 256, 1 << 20):
-            languages, scores = predict(part.column(at).to_pylist(), held.value)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(languages, pa.string()), pa.array(scores, pa.float64())], [*part.schema.names, "lang_pred", "lang_score"])
+    def make() -> callable:
+        def told(texts: list[str | None]) -> list[pa.Array]:
+            languages, scores = predict(texts, held.value)
+            return [pa.array(languages, pa.string()), pa.array(scores, pa.float64())]
+
+        return told
 
-    return df.mapInArrow(run, extended(df, "lang_pred string, lang_score double"))
+    return appended(df, text_col, make, "lang_pred string, lang_score double", keep)

@@ -9,16 +9,19 @@ that share a band are candidates.
 
 No band expands into all its pairs. (1) Every class of a band is verified against the band's least class,
 its hub, on full sets, and links give components. (2) The classes that share a band with a hub of another
-component are that component's outsiders: they are queried, in blocks of bounded size, against all classes
-that share a band with the component, and only the links come out. So every link of two texts that share a
-band counts. A pair at the threshold of 0.8 shares none of 42 bands of 6 with a probability of 3e-6.
+component are that component's outsiders: they are queried against all classes that share a band with the
+component and whose size lets them be similar, in blocks bounded by rows and by shingles; hashed sets meet
+there, texts don't, and only the links come out. So every link of two texts that share a band counts. A pair at
+the threshold of 0.8 shares none of 42 bands of 6 with a probability of 3e-6.
 
 Copies: classes are found by aggregation, so a third of all rows being one text makes one class; joins on
 hubs and classes read written tables on both sides, so that adaptive execution can split them.
 
 Defined results: null, empty and blank texts have an empty set, are linked with nothing and form a
 component of their own; a text with fewer than k words is one shingle, the whole sequence; repeated rows
-give repeated rows; an empty table gives an empty one; other columns are not touched.
+give repeated rows; a row of a null id is linked only to texts of an equal set, whose component it takes, else
+its component is null and it is kept; of a component's rows those of its least id are kept, all of them where
+that id repeats; an empty table gives an empty one; other columns are not touched.
 """
 
 from __future__ import annotations
@@ -30,8 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import Words, mix, ready, slices, written
-from marquee.llm.graph import components
+from marquee.llm.common import Words, mix, ready, slices, spread, written
+from marquee.llm.graph import components, joined
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -115,38 +118,50 @@ def _shared(k: int) -> callable:
     return run
 
 
-def _block_links(k: int, percent: int) -> callable:
+def _sets(k: int) -> callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 256, 1 << 20):
+            items = [x.tobytes() for x in shingle_sets(part.column(1).to_pylist(), k)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(items, pa.binary())], ["id", "items"])
+
+    return run
+
+
+def shared_counts(own: list[np.ndarray], other: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """For each set of own how many items it shares with each of other; memory is that of other's items."""
+    owner = np.repeat(np.arange(len(other)), [len(s) for s in other])
+    items = np.concatenate(other)
+    order = np.argsort(items, kind="stable")
+    items, owner = items[order], owner[order]
+    for s in own:
+        low = np.searchsorted(items, s)
+        yield np.bincount(owner[spread(low, np.searchsorted(items, s, "right") - low)], minlength=len(other))
+
+
+def _block_links(percent: int) -> callable:
     """Links between the two sides of each block; rows come ordered by block."""
 
     def links(rows: list[tuple]) -> Iterator[tuple]:
         left, right = [r for r in rows if r[0]], [r for r in rows if not r[0]]
         if not left or not right:
             return
-        sets = shingle_sets([r[3] for r in left] + [r[3] for r in right], k)
-        own, other = sets[: len(left)], sets[len(left) :]
-        known = np.unique(np.concatenate(own))
-        a = np.zeros((len(own), len(known)), dtype=np.float32)
-        b = np.zeros((len(other), len(known)), dtype=np.float32)
-        for i, s in enumerate(own):
-            a[i, np.searchsorted(known, s)] = 1
-        for i, s in enumerate(other):
-            at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-            b[i, at[known[at] == s]] = 1
-        shared = np.rint(a @ b.T).astype(np.int64)
-        sizes = np.array([len(s) for s in own])[:, None] + np.array([len(s) for s in other])[None, :]
-        for i, j in np.argwhere(100 * shared >= percent * (sizes - shared)).tolist():
-            if left[i][2] != right[j][2]:
-                yield max(left[i][1], right[j][1]), min(left[i][1], right[j][1])
+        own, other = ([np.frombuffer(r[3], dtype=np.uint64) for r in side] for side in (left, right))
+        sizes = np.array([len(s) for s in other])
+        for u, s, shared in zip(left, own, shared_counts(own, other), strict=True):
+            for j in np.flatnonzero(100 * shared >= percent * (len(s) + sizes - shared)).tolist():
+                v = right[j]
+                if u[2] != v[2]:
+                    yield max(u[1], v[1]), min(u[1], v[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, block, kind = [], None, None
         for part in slices(batches, 256, 2 << 20):
-            kind, found = part.schema.field(4).type, []
-            for *key, role, i, component, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+            kind, found = part.schema.field(5).type, []
+            for *key, role, i, component, items in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 if key != block:
                     found += links(held)
                     held, block = [], key
-                held.append((role, i, component, text))
+                held.append((role, i, component, items))
             yield pa.RecordBatch.from_arrays([pa.array([f[n] for f in found], kind) for n in (0, 1)], ["u", "v"])
         if held:
             found = list(links(held))
@@ -155,24 +170,33 @@ def _block_links(k: int, percent: int) -> callable:
     return run
 
 
-def _between(groups: DataFrame, texts: DataFrame, k: int, percent: int, kind: str, left: int = 128, right: int = 512) -> DataFrame:
-    """Links of the outsiders of each group (g, id, part) with all its members, in blocks of about left x right texts."""
-    groups = groups.withColumn("out", F.col("part") != F.col("g"))
-    sizes = groups.groupBy("g").agg(F.count_if("out").alias("nu"), F.count("*").alias("nv")).where("nu > 0 and nv > 1")
-    sized = groups.join(sizes, "g").withColumns({"bu": F.ceil(F.col("nu") / left).cast("int"), "bv": F.ceil(F.col("nv") / right).cast("int")})
-    spread = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    mine = sized.where("out").select("g", F.pmod(F.xxhash64("id"), F.col("bu")).cast("int").alias("bu"), F.explode(spread("bv")).alias("bv"), F.lit(True).alias("role"), "id", "part")
-    rest = sized.select("g", F.explode(spread("bu")).alias("bu"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("bv")).cast("int").alias("bv"), F.lit(False).alias("role"), "id", "part")
-    blocks = mine.union(rest).join(texts, "id").select("g", "bu", "bv", "role", "id", "part", "text")
-    return blocks.repartition("g", "bu", "bv").sortWithinPartitions("g", "bu", "bv").mapInArrow(_block_links(k, percent), f"u {kind}, v {kind}")
+def _between(groups: DataFrame, texts: DataFrame, k: int, percent: int, kind: str, left: int = 128, right: int = 512, left_items: int = 1 << 18, right_items: int = 1 << 20) -> DataFrame:
+    """Links of the outsiders of each group (g, id, part, n) with its members of like size, in blocks of about
+    left x right sets and left_items x right_items shingles."""
+    # Similar sets are of one size class or of neighbouring ones (the width is rounded up).
+    width = float(np.log(100 / percent)) * 1.0001 if percent < 100 else 1.0
+    groups = groups.withColumns({"out": F.col("part") != F.col("g"), "c": F.floor(F.log("n") / width).cast("int")})
+    mine = groups.where("out")
+    rest = groups.withColumn("c", F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1)))
+    blocks_of = lambda df, name, most, items: df.groupBy("g", "c").agg(F.greatest(F.ceil(F.count("*") / most), F.ceil(F.sum("n") / items)).cast("int").alias(name))
+    sizes = written(blocks_of(mine, "bu", left, left_items).join(blocks_of(rest, "bv", right, right_items), ["g", "c"]), "block-sizes")
+    spread_over = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(n)
+    own = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int").alias(n)
+    mine = mine.join(sizes, ["g", "c"]).select("g", "c", own("bu", 0), spread_over("bv"), F.lit(True).alias("role"), "id", "part")
+    rest = rest.join(sizes, ["g", "c"]).select("g", "c", spread_over("bu"), own("bv", 1), F.lit(False).alias("role"), "id", "part")
+    rows = mine.union(rest)
+    needed = groups.join(sizes.select("g").distinct(), "g", "left_semi").select("id").distinct()
+    items = texts.join(needed, "id", "left_semi").mapInArrow(_sets(k), f"id {kind}, items binary")
+    blocks = rows.join(items, "id").select("g", "c", "bu", "bv", "role", "id", "part", "items")
+    return blocks.repartition("g", "c", "bu", "bv").sortWithinPartitions("g", "c", "bu", "bv").mapInArrow(_block_links(percent), f"u {kind}, v {kind}")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, kind: str) -> DataFrame:
     """pairs (u, v, n_u, n_v) with the number of shared shingles."""
     left = texts.select(F.col("id").alias("u"), F.col("text").alias("text_u"))
     right = texts.select(F.col("id").alias("v"), F.col("text").alias("text_v"))
-    joined = pairs.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "text_u", "text_v")
-    return joined.mapInArrow(_shared(k), f"u {kind}, v {kind}, shared long")
+    both = pairs.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "text_u", "text_v")
+    return both.mapInArrow(_shared(k), f"u {kind}, v {kind}, shared long")
 
 
 def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, bands: int = 42, rows: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -182,11 +206,11 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, bands: int = 4
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sketched = written(docs.mapInArrow(_sketches(k, bands, rows), f"id {kind}, n_shingles long, k1 long, k2 long, bands array<long>"), "sketches")
     classes = sketched.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    classes = written(classes, "classes")
+    classes = written(classes.where("rep IS NOT NULL"), "classes")
 
     banded = classes.select("rep", "n", F.explode("bands").alias("key"))
-    hubs = banded.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count("*").alias("held")).where("held > 1").select("key", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("n_hub"))
-    members = written(banded.join(hubs, "key").where("rep <> hub"), "members")
+    hubs = banded.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count("*").alias("held")).where("held > 1").select("key", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("n_hub"), "held")
+    members = written(joined(banded, hubs, "key", classes.count() * bands).where("rep <> hub"), "members")
     # Sizes alone rule out a link: the intersection has at most the smaller set, the union at least the larger.
     fits = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
     stars = written(members.where(fits(F.col("n"), F.col("n_hub"))).groupBy(F.col("rep").alias("u"), F.col("hub").alias("v")).agg(F.first("n").alias("n_u"), F.first("n_hub").alias("n_v")), "stars")
@@ -199,7 +223,7 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, bands: int = 4
     parts = written(components(found), "parts")
 
     of = lambda df, column, name: df.join(parts.select(F.col("id").alias(column), F.col("component").alias(name)), column, "left").withColumn(name, F.coalesce(name, column))
-    groups = written(of(of(members.select("rep", "hub").distinct(), "rep", "part"), "hub", "g").select("g", F.col("rep").alias("id"), "part").distinct(), "groups")
+    groups = written(of(of(members.select("rep", "hub", "n").distinct(), "rep", "part"), "hub", "g").select("g", F.col("rep").alias("id"), "part", "n").distinct(), "groups")
     more = written(_between(groups, texts, k, percent, kind).distinct(), "more-links")
     if more.take(1):
         parts = written(components(found.union(more)), "parts")
@@ -208,4 +232,4 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, bands: int = 4
     moved = of(classes.select("k1", "k2", "rep"), "rep", "part").select("k1", "k2", F.col("part").alias("component"))
     moved = written(moved, "class-parts")
     result = sketched.select("id", "n_shingles", "k1", "k2").join(moved, ["k1", "k2"], "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
-    return result.withColumn("kept", F.col(id_col) == F.col("component_id"))
+    return result.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marquee.llm.common import ready, slices, written
+from marquee.llm.common import ready, slices, spread, written
 
 #: Largest multiplicity of one length in a combination, and how many frequent lengths serve as its second.
 MOST_TIMES, SECONDS = 64, 8
@@ -48,12 +48,6 @@ def _is_small(word: str) -> bool:
     return word.isalpha() and max(word) < "\u0250" and word.lower() == word and unicodedata.is_normalized("NFC", word)
 
 
-def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The positions starts[i], starts[i] + 1, ... (lengths[i] of each), one run after another."""
-    before = np.cumsum(lengths) - lengths
-    return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))
-
-
 class WordTokens:
     """Whole-text ids of a vocabulary that drops white space, word by word: blanks and newlines always part its words.
 
@@ -110,7 +104,7 @@ class WordTokens:
         back = np.empty(len(words), dtype=np.int64)
         back[np.array([*order, *rest], dtype=np.int64)] = np.arange(len(words))
         starts = np.cumsum(lengths) - lengths
-        return ids[_spread(starts[back], lengths[back])], lengths[back]
+        return ids[spread(starts[back], lengths[back])], lengths[back]
 
     def _words(self, texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
         """The words of all texts, and how many stand before the end of each text.
@@ -161,12 +155,12 @@ class WordTokens:
         # A text's end is one more word.
         pool, size = np.append(self.ids, self.kind.type(end_id)), np.append(self.lengths, 1)
         order = np.insert(at[codes], before, len(self.lengths))
-        out = pool[_spread(np.append(starts, len(self.ids))[order], size[order])]
+        out = pool[spread(np.append(starts, len(self.ids))[order], size[order])]
         bounds = np.concatenate([[0], np.cumsum(size[order])[before + np.arange(len(before))]]) * self.kind.itemsize
         least = 0 if len(self.place) < self.limit // 2 else 1
         again = np.flatnonzero(np.bincount(codes, minlength=len(distinct))[unknown] > least)
         self.place.update((distinct[unknown[k]], known + j) for j, k in enumerate(again.tolist()))
-        fresh = _spread(starts[known + again], lengths[again])
+        fresh = spread(starts[known + again], lengths[again])
         self.ids, self.lengths = np.concatenate([self.ids[: len(self.ids) - len(ids)], self.ids[fresh]]), np.concatenate([self.lengths[:known], lengths[again]])
         if len(self.place) > self.limit:
             self._forget()

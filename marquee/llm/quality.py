@@ -3,12 +3,13 @@
 A text's vector is the average of learned vectors of its words and of the character n-grams (2 to 4) inside
 its words, hashed into 2**bits places each; a softmax layer gives the classes. Vectors and layer are trained
 together by numpy stochastic gradient descent on a bounded, labelled sample (``cap`` documents a label value
-at most, a documented bound). Since the layer is linear in the average, the vectors are multiplied with it
+and ``most_bytes`` of features at most, documented bounds; weights restore the whole table's mix of labels). Since the layer is linear in the average, the vectors are multiplied with it
 once and whole texts are scored as averages of these products, in one map.
 
 Defined results: null, empty and blank texts have no feature and get the score of the bias; repeated rows
-give repeated rows; an empty table gives an empty one; without training rows every score is 0.5; other
-columns are neither needed nor touched.
+give repeated rows; an empty table gives an empty one; without training rows every score is 0.5; a null id is
+scored like any other and never learned from; ties can't occur, as nothing is ranked; a column with the name of
+the result is replaced, and other columns are not touched.
 """
 
 from __future__ import annotations
@@ -19,9 +20,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from marquee.llm.common import Characters, Words, labelled_sample, mix, ready, slices, total
-from marquee.llm.toxicity import extended
+from marquee.llm.common import Characters, Words, appended, bounded_rows, labelled_sample, mix, ready, slices, total
 
 GRAMS = (2, 3, 4)
 
@@ -47,11 +48,11 @@ def features(texts: list[str | None], bits: int) -> tuple[np.ndarray, np.ndarray
 def _collect(bits: int) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 256, 1 << 20):
-            doc, place = features(part.column(1).to_pylist(), bits)
+            doc, place = features(part.column(3).to_pylist(), bits)
             keys, counts = np.unique((doc << (bits + 1)) | place, return_counts=True)
             stops = np.searchsorted(keys, np.arange(1, part.num_rows) << (bits + 1))
             rows = [np.split(x, stops) for x in ((keys & ((2 << bits) - 1)).astype("<i4"), counts.astype("<i4"))]
-            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([x.tobytes() for x in r], pa.binary()) for r in rows)], ["label", "places", "counts"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], *(pa.array([x.tobytes() for x in r], pa.binary()) for r in rows)], ["label", "weight", "draw", "places", "counts"])
 
     return run
 
@@ -63,21 +64,22 @@ class Model:
     bits: int
 
 
-def sgd(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int, width: int = 12, rate: float = 0.5, epochs: int = 8, seed: int = 3) -> Model:
-    """Vectors and softmax layer by stochastic gradient descent with a falling rate."""
+def sgd(rows: list[tuple[np.ndarray, np.ndarray, int, float]], bits: int, width: int = 12, rate: float = 0.5, epochs: int = 8, seed: int = 3) -> Model:
+    """Vectors and softmax layer by stochastic gradient descent with a falling rate. rows: places, shares, label, weight."""
     draw = np.random.default_rng(seed)
     vectors = draw.uniform(-1 / width, 1 / width, (2 << bits, width)).astype(np.float32)
     layer, bias = np.zeros((width, 2), dtype=np.float32), np.zeros(2, dtype=np.float32)
     steps, done = max(1, epochs * len(rows)), 0
     for _ in range(epochs):
         for k in draw.permutation(len(rows)).tolist():
-            at, share, y = rows[k]
+            at, share, y, weight = rows[k]
             lr = np.float32(rate * (1 - done / steps))
             mean = share @ vectors[at]
             out = mean @ layer + bias
             g = np.exp(out - out.max())
             g /= g.sum()
             g[y] -= 1
+            g *= np.float32(min(weight, 4.0))  # a longer step would overshoot
             back = layer @ g
             layer -= lr * np.outer(mean, g)
             bias -= lr * g
@@ -87,14 +89,16 @@ def sgd(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int, width: int =
     return Model(vectors @ (layer[:, 1] - layer[:, 0]), float(bias[1] - bias[0]), bits)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", cap: int = 1500, bits: int = 16, **options) -> Model:
-    """A model from at most about cap documents a label value; docs and labels: the rows to learn from."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", cap: int = 1500, bits: int = 16, most_bytes: int = 64 << 20, **options) -> Model:
+    """A model from at most cap documents a label value, and most_bytes of features; docs and labels: the rows to learn from."""
     ready(docs.sparkSession)
-    rows = labelled_sample(docs, labels, label, cap).mapInArrow(_collect(bits), "label int, places binary, counts binary").collect()
+    sample = labelled_sample(docs, labels, label, cap).select(F.col("label").cast("int").alias("label"), "weight", "draw", "text")
+    found = bounded_rows(sample.mapInArrow(_collect(bits), "label int, weight double, draw long, places binary, counts binary"), "quality-sample", most_bytes)
     examples = []
-    for p, c, y in sorted((r["places"], r["counts"], r["label"]) for r in rows if r["places"]):
-        count = np.frombuffer(c, dtype="<i4").astype(np.float32)
-        examples.append((np.frombuffer(p, dtype="<i4"), count / count.sum(), y))
+    for r, weight in found:
+        if r["places"]:
+            count = np.frombuffer(r["counts"], dtype="<i4").astype(np.float32)
+            examples.append((np.frombuffer(r["places"], dtype="<i4"), count / count.sum(), r["label"], weight))
     return sgd(examples, bits, **options)
 
 
@@ -104,15 +108,11 @@ def probabilities(texts: list[str | None], model: Model) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(margin, -35, 35)))
 
 
-def score(df: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
-    """All columns of df and the score of each text."""
-    spark = df.sparkSession
-    ready(spark)
-    held = spark.sparkContext.broadcast(model)  # 2**(bits + 1) numbers
-    at = df.columns.index(text_col)
+def score(df: DataFrame, model: Model, text_col: str = "text", name: str = "score", keep: list[str] | None = None) -> DataFrame:
+    """The columns of df (or those in keep) and the score of each text."""
+    held = df.sparkSession.sparkContext.broadcast(model)  # 2**(bits + 1) numbers
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 256, 1 << 20):
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(probabilities(part.column(at).to_pylist(), held.value))], [*part.schema.names, name])
+    def make() -> callable:
+        return lambda texts: [pa.array(probabilities(texts, held.value))]
 
-    return df.mapInArrow(run, extended(df, f"{name} double"))
+    return appended(df, text_col, make, f"{name} double", keep)

@@ -38,14 +38,14 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.fit(docs.where(fold("doc_id", 4) != 2))
     rows = docs.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "text")
-    return language.identify(rows, model).select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
+    return language.identify(rows, model, keep=["doc_id", "held_out"]).withColumnRenamed("lang_score", "score")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     weights = toxicity.fit(docs, labels.where(fold("doc_id", 5) != 0), "toxic")
     rows = docs.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "text")
-    return toxicity.predicted(toxicity.score(rows, weights).drop("text"), 0.5)
+    return toxicity.predicted(toxicity.score(rows, weights, keep=["doc_id", "held_out"]), 0.5)
 
 
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,11 +70,14 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality.fit(docs, labels.where(fold("doc_id", 5) != 0), "quality")
     rows = docs.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "text")
-    return toxicity.predicted(quality.score(rows, model).drop("text"), 0.3)
+    return toxicity.predicted(quality.score(rows, model, keep=["doc_id", "held_out"]), 0.3)
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.copies(media.images_of(table(spark, sf_dir, "embeddings")), "id").withColumnRenamed("id", "vec_id")
+    images = media.images_of(table(spark, sf_dir, "embeddings"))
+    n = len(media.CHANGES)
+    change = F.element_at(F.array(*[F.lit(c) for c in media.CHANGES]), (F.col("image_id") % n + 1).cast("int"))
+    return media.copies(images, "image_id").select("image_id", F.floor(F.col("image_id") / n).alias("vec_id"), change.alias("change"), "n_corners", "n_links", "group_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -1,7 +1,8 @@
 """Quality rules as learned decision lists, in DataFrame functions alone.
 
 Statistics of a text are higher-order functions over its words, evaluated in one scan without a shuffle or
-an explode. From the statistics of a bounded labelled sample (``cap`` rows a label value) the driver learns
+an explode. From the statistics of a bounded labelled sample (``cap`` rows a label value at most, each with the
+weight that restores the whole table's mix of labels, so that precision means the same at every size) the driver learns
 an ordered list of rules by sequential covering: a rule, a conjunction of thresholds, is grown condition by
 condition by the gain in information over the rejected texts, pruned from its end on rows kept apart, and
 kept while it is precise there; what it covers is removed and the next is grown. The list becomes one
@@ -21,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import labelled_sample
+from marquee.llm.common import labelled_sample, quoted, without
 
 SPACES = r"[\x20\x09-\x0D]+"
 #: The statistics that rules may test.
@@ -55,7 +56,7 @@ def repeated_words(words: Column, width: int = 5) -> Column:
 
 def statistics(df: DataFrame, text_col: str = "text", name: str = "stats") -> DataFrame:
     """All columns of df with a struct of whole-text statistics."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce(quoted(text_col), F.lit(""))
     words = F.array_remove(F.split(text, SPACES), "")
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     count = lambda pattern: F.regexp_count(text, F.lit(pattern)).cast("long")
@@ -67,11 +68,11 @@ def statistics(df: DataFrame, text_col: str = "text", name: str = "stats") -> Da
             let(lines, lambda found: F.size(found) - F.size(F.array_distinct(found))).cast("long").alias("n_dup_lines"),
             repeated_words(w).cast("long").alias("n_repeat_words"),
             F.size(F.array_distinct(w)).cast("long").alias("n_distinct"),
+            *counts,
         )
 
-    counts = F.struct(count(r"[#*$%&|<>]").alias("n_symbols"), count(r"[A-Z]").alias("n_upper"), count(r"[0-9]").alias("n_digits"), count(r"!!").alias("n_bangs"), count(r"\x20\|\x20").alias("n_bars"), F.size(lines).cast("long").alias("n_lines"))
-    out = df.withColumn(name, let(words, measured)).withColumn(f"{name}_counts", counts)
-    return out.withColumn(name, F.struct(f"{name}.*", f"{name}_counts.*")).drop(f"{name}_counts")
+    counts = [count(r"[#*$%&|<>]").alias("n_symbols"), count(r"[A-Z]").alias("n_upper"), count(r"[0-9]").alias("n_digits"), count(r"!!").alias("n_bangs"), count(r"\x20\|\x20").alias("n_bars"), F.size(lines).cast("long").alias("n_lines")]
+    return df.select(*(quoted(c) for c in without(df, [name])), let(words, measured).alias(name))
 
 
 def shares(stats: str = "stats") -> dict[str, Column]:
@@ -106,17 +107,17 @@ def _covers(rule: list[Condition], x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _grow(x: np.ndarray, bad: np.ndarray, most: int, cuts: int = 48) -> list[Condition]:
+def _grow(x: np.ndarray, bad: np.ndarray, weight: np.ndarray, most: int, cuts: int = 48) -> list[Condition]:
     rule: list[Condition] = []
-    inside = np.ones(len(x), dtype=bool)
-    while len(rule) < most and (p0 := int(bad[inside].sum())) and not bad[inside].all():
-        before, best = np.log2(p0 / inside.sum()), (1e-9, None)
+    inside, wrong = np.ones(len(x), dtype=bool), weight * bad
+    while len(rule) < most and (p0 := wrong[inside].sum()) and not bad[inside].all():
+        before, best = np.log2(p0 / weight[inside].sum()), (1e-9, None)
         for k, feature in enumerate(FEATURES):
             for t in np.unique(np.quantile(x[inside & bad, k], np.linspace(0, 1, cuts), method="nearest")).tolist():
                 for above in (True, False):
                     hit = inside & (x[:, k] >= t if above else x[:, k] <= t)
-                    p = int(bad[hit].sum())
-                    if p and (gain := p * (np.log2(p / hit.sum()) - before)) > best[0]:
+                    p = wrong[hit].sum()
+                    if p and (gain := p * (np.log2(p / weight[hit].sum()) - before)) > best[0]:
                         best = gain, Condition(feature, above, t)
         if best[1] is None:
             break
@@ -125,36 +126,38 @@ def _grow(x: np.ndarray, bad: np.ndarray, most: int, cuts: int = 48) -> list[Con
     return rule
 
 
-def learn(x: np.ndarray, bad: np.ndarray, most_rules: int = 8, most_conditions: int = 4, precision: float = 0.95, least: int = 5) -> list[list[Condition]]:
-    """Sequential covering of the bad rows: grown on two thirds, pruned and judged on the third."""
+def learn(x: np.ndarray, bad: np.ndarray, weight: np.ndarray | None = None, most_rules: int = 8, most_conditions: int = 4, precision: float = 0.95, least: int = 5) -> list[list[Condition]]:
+    """Sequential covering of the bad rows: grown on two thirds, pruned and judged on the third; counts are weighted."""
     rules: list[list[Condition]] = []
+    weight = np.ones(len(x)) if weight is None else weight
     apart = np.arange(len(x)) % 3 == 2
     while len(rules) < most_rules and bad[~apart].any():
-        rule = _grow(x[~apart], bad[~apart], most_conditions)
+        rule = _grow(x[~apart], bad[~apart], weight[~apart], most_conditions)
 
         def worth(r: list[Condition]) -> float:
             hit = _covers(r, x[apart])
-            return (bad[apart][hit].sum() + 0.5) / (hit.sum() + 1) if r else 0.0
+            return ((weight * bad)[apart][hit].sum() + 0.5) / (weight[apart][hit].sum() + 1) if r else 0.0
 
         rule = max((rule[:n] for n in range(1, len(rule) + 1)), key=worth, default=[])  # the shortest of equals
         hit = _covers(rule, x)
-        if not rule or bad[hit].sum() < least or bad[hit].mean() < precision:
+        if not rule or bad[hit].sum() < least or (weight * bad)[hit].sum() / weight[hit].sum() < precision:
             break
         rules.append(rule)
-        x, bad, apart = x[~hit], bad[~hit], apart[~hit]
+        x, bad, weight, apart = x[~hit], bad[~hit], weight[~hit], apart[~hit]
     return rules
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", cap: int = 3000, id_col: str = "doc_id", text_col: str = "text", **options) -> list[list[Condition]]:
-    """Rules that reject label 0, from at most about cap labelled documents a value."""
+    """Rules that reject label 0, from at most cap labelled documents a value."""
     sample = statistics(labelled_sample(docs, labels, label, cap, id_col, text_col))
     values = shares()
-    rows = sorted(tuple(r) for r in sample.select("label", *(values[f].alias(f) for f in FEATURES)).collect())
+    # Numbers alone, about 100 bytes a row, go to the driver.
+    rows = sorted(tuple(r) for r in sample.select("label", "weight", *(values[f].alias(f) for f in FEATURES)).collect())
     if not rows:
         return []
     rows = np.array(rows, dtype=float)
     rows = rows[np.random.default_rng(11).permutation(len(rows))]
-    return learn(rows[:, 1:], rows[:, 0] == 0, **options)
+    return learn(rows[:, 2:], rows[:, 0] == 0, rows[:, 1], **options)
 
 
 def decision(rules: list[list[Condition]], stats: str = "stats") -> Column:

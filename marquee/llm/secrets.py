@@ -1,39 +1,41 @@
 """Secret scans: fixed forms, and dictionary-primed zstandard novelty.
 
 Three fixed forms (assignments, access keys, long hexadecimal runs) give the base spans. The method adds
-others: long tokens with a letter and a digit that no base span touches and before which, within
-``CONTEXT`` characters, a sensitive word stands. A zstandard compressor is primed with a dictionary of
-identifiers and common code; a candidate's novelty is the number of bytes it adds to its compressed
-surroundings, over its length. Words, paths and repeated identifiers compress, secrets don't: candidates of
-at least ``threshold`` are reported as kind ``novel``; for those of ``LONG`` characters or more, whose
-symbols the compressor starts to code by frequency, three fourths of it do.
+others, of kind ``novel``. Its candidates are all runs of 12 or more letters, digits and the signs of
+encoded text that start within ``CONTEXT`` characters after a sensitive word; the context carries on over
+candidates that follow each other with only a line end, blanks or signs between, as the lines of a private
+key do. A zstandard compressor is primed with a dictionary of identifiers, paths and common code; a candidate's
+novelty is the number of bytes it adds to its compressed surroundings, over its length. Words, paths and
+repeated identifiers compress, secrets don't: a candidate of at least ``threshold`` is reported. Text of one
+kind of letters for long (words run together, names, numbers) must add ``PLAIN`` bytes a character or more. A
+candidate that a base span covers in part is judged, and reported, whole.
 
 Whole texts are scanned in one map without a shuffle. Defined results: null and empty texts have no span;
 of spans with one start the kinds come in the order listed; repeated rows give repeated rows; an empty
-table gives an empty one; other columns are neither needed nor touched.
+table gives an empty one; null ids stay null; a column with the name of the result is replaced, and other
+columns are not touched.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from marquee.llm.common import ready, slices
-from marquee.llm.toxicity import extended
+from marquee.llm.common import appended
 
 KINDS = ("assign", "access", "hex", "novel")
-CONTEXT, LONG = 48, 64
+CONTEXT, PLAIN = 48, 1.0
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # maximal runs: those of fewer than 24 are dropped either way
-_LONG = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
-_SENSITIVE = re.compile(r"key|secret|token|passw|pwd|auth|credential|bearer|private|signature|session", re.I | re.A)
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-][A-Za-z0-9+/_=.-]{10,}[A-Za-z0-9+/_=-]")
+_SENSITIVE = re.compile(r"(?<![a-z])(?:key|pass(?:word|wd|phrase)?|pwd|secret|token|auth(?!or)|credential|bearer|private|signature|session)|(?:api|access|secret|private)_?key", re.I | re.A)
+_BETWEEN = re.compile(r"[\s.,:;\"'\\|*>#-]{0,12}")
+_CHANGES = re.compile("[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+")
 
 #: What code and configuration commonly hold beside a value; raw content of the compressor's dictionary.
 DICTIONARY = (
@@ -43,6 +45,13 @@ DICTIONARY = (
     "database_connection_string configuration environment production development localhost private_key public_key "
     "0123456789 1234567890 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ the and of to in is that for with "
     "die der und das nicht eine les des que pour dans los las una por con aeiou tion ment keit ung ción "
+    "international configuration authentication authorization administration documentation implementation representation "
+    "responsibility communication information environment application organization transformation understanding "
+    "getElementById addEventListener setTimeout toString prototype constructor initialize serialize controller repository "
+    "service factory manager handler listener provider adapter builder parser formatter validator converter container component template "
+    "src/main/java/com/example/ src/main/resources/ node_modules/ usr/local/lib/ var/log/ etc/ docs/reference/ tests/unit/ assets/images/ index.html package.json settings.yaml "
+    "getUserById createUser updateSession deleteToken findByName isEnabled hasPermission max_connections min_length default_value first_name last_name created_at request_timeout "
+    "2024-01-01T00:00:00 2025-12-31T23:59 2026-06-15T12:30 1.0.0 2.1.3-beta 0.9.12-alpha 3.4.5-release-snapshot "
 ).encode()
 
 
@@ -53,7 +62,7 @@ class Novelty:
         import zstandard
 
         primed = zstandard.ZstdCompressionDict(DICTIONARY, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        self.compress = zstandard.ZstdCompressor(level=6, dict_data=primed, write_content_size=False, write_checksum=False).compress
+        self.compress = zstandard.ZstdCompressor(level=19, dict_data=primed, write_content_size=False, write_checksum=False).compress
 
     def __call__(self, text: str, start: int, end: int) -> float:
         around = (text[max(0, start - 400) : start] + text[end : end + 200]).encode("utf-8", "surrogatepass")
@@ -72,20 +81,41 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+def bar(candidate: str, threshold: float) -> float:
+    """The novelty that a candidate must reach: encoded text changes between kinds of characters often, and the
+    symbols of longer ones are coded by their frequency."""
+    n = len(candidate)
+    if len(_CHANGES.findall(candidate)) < 0.35 * n:
+        return PLAIN
+    return threshold * (1.0 if n <= 24 else 0.92 if n <= 64 else 0.82)
+
+
 def novel_spans(text: str, base: list[tuple[int, int, str]], novelty: Novelty, threshold: float) -> list[tuple[int, int, str]]:
-    if not _SENSITIVE.search(text):
+    out, reach, near = [], -1, 0  # reach: how far the context of sensitive words seen so far goes
+    words = _SENSITIVE.finditer(text)
+    word = next(words, None)
+    if word is None:
         return []
-    out = []
-    for m in _LONG.finditer(text):
+    for m in _CANDIDATE.finditer(text, max(0, word.start() - 64)):
         start, end = m.span()
-        token = m[0]
-        if any(c.isdigit() for c in token) and any(c.isalpha() for c in token) and not any(a < end and start < b for a, b, _ in base):
-            if _SENSITIVE.search(text, max(0, start - CONTEXT), start) and novelty(text, start, end) >= (threshold if end - start < LONG else 0.75 * threshold):
-                out.append((start, end, "novel"))
+        while word is not None and word.end() <= start:
+            reach, word = word.end() + CONTEXT, next(words, None)
+        chained = near and _BETWEEN.fullmatch(text, near, start) is not None
+        if start > reach and not chained:
+            near = 0
+            continue
+        if any(a <= start and end <= b for a, b, _ in base):
+            near = end
+            continue
+        if novelty(text, start, end) >= bar(m[0], threshold):
+            out.append((start, end, "novel"))
+            near = end
+        else:
+            near = 0
     return out
 
 
-def scan(text: str | None, novelty: Novelty, threshold: float = 0.9) -> tuple[list, list]:
+def scan(text: str | None, novelty: Novelty, threshold: float = 0.85) -> tuple[list, list]:
     """(base spans, all spans) of a text, each (start, end, kind) in order."""
     text = text or ""
     base = base_spans(text)
@@ -106,26 +136,31 @@ def redacted(text: str, spans: list, mark: str = "[SECRET]") -> str:
     return "".join([*out, text[at:]])
 
 
-def find_secrets(df: DataFrame, text_col: str = "text", threshold: float = 0.9, name: str = "found") -> DataFrame:
-    """All columns of df with a struct: n_assign, n_access, n_hex, base_sha256, spans, and the redacted text."""
-    ready(df.sparkSession)
-    at = df.columns.index(text_col)
-    fields = [("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string()), ("redacted", pa.string())]
+FIELDS = [("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string()), ("redacted", pa.string())]
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def find_secrets(df: DataFrame, text_col: str = "text", threshold: float = 0.85, name: str = "found", keep: list[str] | None = None, redact: bool = True) -> DataFrame:
+    """The columns of df (or those in keep) with a struct: n_assign, n_access, n_hex, base_sha256, spans, and the redacted text."""
+    fields = FIELDS if redact else FIELDS[:-1]
+
+    def make() -> callable:
         novelty = Novelty()
-        for part in slices(batches, 256, 4 << 20):
+
+        def found(texts: list[str | None]) -> list[pa.Array]:
             rows = []
-            for text in part.column(at).to_pylist():
+            for text in texts:
                 base, spans = scan(text, novelty, threshold)
                 kinds = [k for *_, k in base]
-                rows.append((*(kinds.count(k) for k in KINDS[:3]), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), None if text is None else redacted(text, spans) if spans else text))
-            columns = [pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(fields)]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.StructArray.from_arrays(columns, [n for n, _ in fields])], [*part.schema.names, name])
+                row = (*(kinds.count(k) for k in KINDS[:3]), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans))
+                rows.append((*row, text if text is None or not spans else redacted(text, spans)) if redact else row)
+            return [pa.StructArray.from_arrays([pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(fields)], [n for n, _ in fields])]
+
+        return found
 
-    return df.mapInArrow(run, extended(df, f"{name} struct<n_assign: long, n_access: long, n_hex: long, base_sha256: string, spans: string, redacted: string>"))
+    ddl = ", ".join(f"{n}: {'long' if kind == pa.int64() else 'string'}" for n, kind in fields)
+    return appended(df, text_col, make, f"{name} struct<{ddl}>", keep, most_bytes=4 << 20)
 
 
 def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    found = find_secrets(df.select(id_col, F.col(text_col).alias("text")))
+    found = find_secrets(df, text_col, keep=[id_col], redact=False)
     return found.select(id_col, *(f"found.{c}" for c in ("n_assign", "n_access", "n_hex", "base_sha256", "spans")))

@@ -2,12 +2,15 @@
 
 Features of a text: the presence of its words, word pairs, and pairs with one or two words between, hashed
 into 2**bits places. Training is FTRL-proximal with per-coordinate rates on a bounded, labelled sample
-(``cap`` documents a label value at most, a documented bound); the L1 penalty leaves few weights, and
-those alone are broadcast (at most 2**bits of them). Scoring reads every text whole, in one map.
+(``cap`` documents a label value and ``most_bytes`` of features at most, documented bounds; weights restore the
+whole table's mix of labels). Rate and L1 penalty are chosen among ``settings`` by the log loss of a third of that
+sample, kept apart; the penalty leaves few weights, and those alone are broadcast (at most 2**bits of them).
+Scoring reads every text whole, in one map.
 
 Defined results: null, empty and blank texts have no feature and get the score of the bias; repeated rows
-give repeated rows; an empty table gives an empty one; without training rows every score is 0.5; other
-columns are neither needed nor touched.
+give repeated rows; an empty table gives an empty one; without training rows every score is 0.5; a null id is
+scored like any other and never learned from; of settings with equal losses the first counts; a column with the name
+of the result is replaced, and other columns are not touched.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import Words, labelled_sample, mix, ready, slices, total
+from marquee.llm.common import Words, appended, bounded_rows, labelled_sample, mix, ready, slices, total
 
 SIGNS = b".,!?;:\"'()[]{}<>#$%&*|"
 
@@ -41,11 +44,11 @@ def features(texts: list[str | None], bits: int) -> tuple[np.ndarray, np.ndarray
 def _collect(bits: int) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 256, 1 << 20):
-            doc, place = features(part.column(1).to_pylist(), bits)
+            doc, place = features(part.column(3).to_pylist(), bits)
             keys = np.unique((doc << bits) | place)
             stops = np.searchsorted(keys, np.arange(1, part.num_rows) << bits)
             rows = [(x & ((1 << bits) - 1)).astype("<i4").tobytes() for x in np.split(keys, stops)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.binary())], ["label", "places"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(rows, pa.binary())], ["label", "weight", "draw", "places"])
 
     return run
 
@@ -58,18 +61,18 @@ class Weights:
     bits: int
 
 
-def ftrl(rows: list[tuple[np.ndarray, int]], bits: int, alpha: float = 0.3, beta: float = 1.0, l1: float = 8.0, l2: float = 1.0, epochs: int = 4, seed: int = 7) -> Weights:
-    """FTRL-proximal over presence features; the bias is not penalised."""
+def ftrl(rows: list[tuple[np.ndarray, int, float]], bits: int, alpha: float = 0.3, beta: float = 1.0, l1: float = 8.0, l2: float = 1.0, epochs: int = 6, seed: int = 7) -> Weights:
+    """FTRL-proximal over presence features of (places, label, weight); the bias is not penalised."""
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
     zb = nb = 0.0
     order = np.random.default_rng(seed)
     for _ in range(epochs):
         for k in order.permutation(len(rows)).tolist():
-            at, y = rows[k]
+            at, y, weight = rows[k]
             za, na = z[at], n[at]
             w = np.where(np.abs(za) <= l1, 0.0, -(za - np.sign(za) * l1) / ((beta + np.sqrt(na)) / alpha + l2))
             b = -zb / ((beta + np.sqrt(nb)) / alpha)
-            g = 1 / (1 + np.exp(-np.clip(w.sum() + b, -35, 35))) - y
+            g = weight * (1 / (1 + np.exp(-np.clip(w.sum() + b, -35, 35))) - y)
             step = (np.sqrt(na + g * g) - np.sqrt(na)) / alpha
             z[at], n[at] = za + g - step * w, na + g * g
             zb, nb = zb + g - (np.sqrt(nb + g * g) - np.sqrt(nb)) / alpha * b, nb + g * g
@@ -78,12 +81,27 @@ def ftrl(rows: list[tuple[np.ndarray, int]], bits: int, alpha: float = 0.3, beta
     return Weights(places, w[places], float(-zb / ((beta + np.sqrt(nb)) / alpha)) if nb else 0.0, bits)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", cap: int = 4000, bits: int = 18, **options) -> Weights:
-    """Weights from at most about cap documents a label value; docs and labels: the rows to learn from."""
+def loss(rows: list[tuple[np.ndarray, int, float]], weights: Weights) -> float:
+    """The weighted log loss of some rows."""
+    dense = np.zeros(1 << weights.bits)
+    dense[weights.places] = weights.values
+    margin = np.array([dense[at].sum() + weights.bias for at, *_ in rows])
+    y, weight = (np.array([r[i] for r in rows], dtype=float) for i in (1, 2))
+    return float((weight * np.logaddexp(0, np.where(y == 1, -margin, margin))).sum() / weight.sum())
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", cap: int = 4000, bits: int = 18, most_bytes: int = 64 << 20, settings: tuple = ((0.3, 8.0), (1.0, 8.0), (1.0, 16.0)), **options) -> Weights:
+    """Weights from at most cap documents a label value, and most_bytes of features; docs and labels: the rows to learn from."""
     ready(docs.sparkSession)
-    rows = labelled_sample(docs, labels, label, cap).mapInArrow(_collect(bits), "label int, places binary").collect()
-    rows = sorted((r["places"], r["label"]) for r in rows)  # an order of their own, whatever the tasks' order
-    return ftrl([(np.frombuffer(p, dtype="<i4"), y) for p, y in rows], bits, **options)
+    sample = labelled_sample(docs, labels, label, cap).select(F.col("label").cast("int").alias("label"), "weight", "draw", "text")
+    found = bounded_rows(sample.mapInArrow(_collect(bits), "label int, weight double, draw long, places binary"), "toxicity-sample", most_bytes)
+    rows = [(np.frombuffer(r["places"], dtype="<i4"), r["label"], weight) for r, weight in found]
+    train, apart = [r for k, r in enumerate(rows) if k % 3 != 2], rows[2::3]
+    best = dict(zip(("alpha", "l1"), settings[0], strict=True))
+    if len(settings) > 1 and apart and len({y for _, y, _ in train}) > 1:
+        tried = {(alpha, l1): loss(apart, ftrl(train, bits, **{**options, "alpha": alpha, "l1": l1, "epochs": 2})) for alpha, l1 in settings}
+        best = dict(zip(("alpha", "l1"), min(tried, key=tried.get), strict=True))
+    return ftrl(rows, bits, **(best | options))
 
 
 def probabilities(texts: list[str | None], weights: Weights, dense: np.ndarray) -> np.ndarray:
@@ -94,31 +112,17 @@ def probabilities(texts: list[str | None], weights: Weights, dense: np.ndarray)
     return 1 / (1 + np.exp(-np.clip(margin, -35, 35)))
 
 
-def score(df: DataFrame, weights: Weights, text_col: str = "text", name: str = "score") -> DataFrame:
-    """All columns of df and the score of each text."""
-    spark = df.sparkSession
-    ready(spark)
-    held = spark.sparkContext.broadcast(weights)
-    at = df.columns.index(text_col)
+def score(df: DataFrame, weights: Weights, text_col: str = "text", name: str = "score", keep: list[str] | None = None) -> DataFrame:
+    """The columns of df (or those in keep) and the score of each text."""
+    held = df.sparkSession.sparkContext.broadcast(weights)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make() -> callable:
         w = held.value
         dense = np.zeros(1 << w.bits)
         dense[w.places] = w.values
-        for part in slices(batches, 256, 1 << 20):
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(probabilities(part.column(at).to_pylist(), w, dense))], [*part.schema.names, name])
-
-    return df.mapInArrow(run, extended(df, f"{name} double"))
-
-
-def extended(df: DataFrame, more: str):
-    """df's schema with further columns."""
-    from pyspark.sql import types as T
+        return lambda texts: [pa.array(probabilities(texts, w, dense))]
 
-    out = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])
-    for field in T.StructType.fromDDL(more).fields:
-        out = out.add(field)
-    return out
+    return appended(df, text_col, make, f"{name} double", keep)
 
 
 def predicted(df: DataFrame, threshold: float = 0.5) -> DataFrame:
