@@ -1,7 +1,12 @@
 """The corpus pipeline: toxicity, language, near-duplicates, secrets, packing.
 
 Each stage works on all that its predecessor kept, and each is written as Parquet and read again. Models
-are learned from the labelled rows of the stage's own input."""
+are learned from the labelled rows of the stage's own input.
+
+Defined results: a stage takes the columns of documents by name and leaves others out; an empty table gives an
+empty one; rows of a null id are treated like any other, though nothing is learned from them; without labelled
+rows no document is toxic; null texts and texts without a letter have no language and go there; repeated rows
+are copies, of which one stays."""
 
 from __future__ import annotations
 
@@ -17,32 +22,39 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that score 0.5 or more."""
+    """Drops documents that score more than 0.5, or 0.5 where there was something to learn."""
     labels = queries.table(spark, sf_dir, "labels")
     weights = toxicity.fit(docs, labels.where(fold("doc_id", 5) != 0), "toxic")
-    return toxicity.score(docs.select(COLUMNS), weights, name="toxic_score").where("toxic_score < 0.5").select(COLUMNS)
+    toxic = (F.col("toxic_score") >= 0.5) if len(weights.places) else F.col("toxic_score") > 0.5
+    return toxicity.score(docs, weights, name="toxic_score", keep=COLUMNS).where(~toxic).select(COLUMNS)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language, and those told with confidence to be in another than they claim.
 
-    A document that claims none takes what is found."""
+    A document that claims none takes what is found; if there is nothing to learn from, those that claim one stay."""
     model = language.fit(docs.where(fold("doc_id", 4) != 2))
-    found = language.identify(docs.select(COLUMNS), model)
+    if model is None:
+        return docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(COLUMNS)
+    found = language.identify(docs, model, keep=COLUMNS)
     wrong = F.coalesce((F.col("lang") != F.col("lang_pred")) & (F.col("lang_score") >= 0.9), F.lit(False))
     return found.where((F.col("lang_pred") != "und") & ~wrong).withColumn("lang", F.coalesce("lang", "lang_pred")).select(COLUMNS)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the least id of each group of near copies: five-word shingles, similarity 0.8."""
-    groups = neardup.near_duplicates(docs, k=5, percent=80)
-    dropped = written(groups.where(~F.col("kept")).select("doc_id").distinct(), "dropped")
-    return docs.select(COLUMNS).join(dropped, "doc_id", "left_anti").select(COLUMNS)
+    """Keeps one row of each group of near copies, that of the least id: five-word shingles, similarity 0.8.
+
+    Rows are told apart by a number of their own, so that repeated rows count as copies and null ids as rows."""
+    rows = written(docs.select(COLUMNS).withColumn("row", F.monotonically_increasing_id()), "numbered")
+    groups = neardup.near_duplicates(rows, k=5, percent=80, id_col="row").select("row", F.col("component_id").alias("group"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    kept = written(groups.join(rows.select("doc_id", "row"), "row").groupBy("group").agg(F.min(order).alias("first")).select("first.row"), "kept")
+    return rows.join(kept, "row", "left_semi").select(COLUMNS)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets by a mark; no document goes."""
-    found = secrets.find_secrets(docs.select(COLUMNS))
+    found = secrets.find_secrets(docs, keep=[c for c in COLUMNS if c != "text"])
     text = F.col("found.redacted")
     return found.withColumn("text", text).withColumn("n_chars", F.when(F.col("found.spans") != "", F.char_length(text).cast("long")).otherwise(F.col("n_chars"))).select(COLUMNS)
 
