@@ -7,7 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 # What counts as a promotional suffix, a numbered occurrence, a fixture, a line-up, a status.
 PROMO_SUFFIX = (
@@ -114,6 +114,47 @@ def title_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+#: Kept from being evaluated once more for a filter on its result.
+title_ratio = title_ratio.asNondeterministic()
+
+
+@F.pandas_udf(StructType([StructField("ratio", DoubleType()), StructField("back", DoubleType())]))
+def title_ratios(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """The similarity of a to b and of b to a; 0 where either is null."""
+    matcher, out = difflib.SequenceMatcher(), []
+    for x, y in zip(a, b, strict=True):
+        each = [0.0, 0.0]
+        if x is not None and y is not None:
+            for k, (p, q) in enumerate(((x, y), (y, x))):
+                matcher.set_seqs(p, q)
+                each[k] = matcher.ratio()
+        out.append(each)
+    return pd.DataFrame(out, columns=["ratio", "back"], dtype="float64")
+
+
+title_ratios = title_ratios.asNondeterministic()
+
+
+def letter_bag(text: str) -> list[int]:
+    """How many characters of a text have each remainder of their code by 32; equal letters have equal ones."""
+    out = [0] * 32
+    for c in text:
+        out[ord(c) & 31] += 1
+    return out
+
+
+def subsequence_ratio(a: str, b: str) -> float:
+    """Twice the longest common subsequence over both lengths, which no similarity ratio exceeds (bit-parallel)."""
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    row = every = (1 << len(a)) - 1
+    for c in b:
+        hit = row & places.get(c, 0)
+        row = ((row + hit) | (row - hit)) & every
+    return 2.0 * (len(a) - row.bit_count()) / (len(a) + len(b)) if a or b else 1.0
+
+
 def slugify(text: Column) -> Column:
     t = F.regexp_replace(F.lower(F.trim(_text(text))), r"(?U)[^\w\s-]", "")
     return F.substring(F.regexp_replace(t, r"(?U)[\s_-]+", "-"), 1, 200)

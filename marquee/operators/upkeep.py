@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -207,10 +208,14 @@ def image_loss(events: DataFrame) -> DataFrame:
 # --- jobs ----------------------------------------------------------------------------------------
 
 
-def resolve_ticket_url(p_source: Column, p_url: Column, s_source: Column, s_url: Column, banned: list[str]) -> Column:
+def source_key(source: Column) -> Column:
+    """A source's name in small letters without blanks."""
+    return F.replace(F.lower(F.trim(F.coalesce(source, F.lit("")))), F.lit(" "), F.lit(""))
+
+
+def resolve_ticket_url(p_source: Column, p_url: Column, s_source: Column, s_url: Column, banned: Sequence[str]) -> Column:
     """The link a merge gives its primary where a source of untrusted links takes part: null leaves it as it is."""
-    plain = lambda c: F.replace(F.lower(F.trim(F.coalesce(c, F.lit("")))), F.lit(" "), F.lit(""))
-    pb, sb = plain(p_source).isin(banned), plain(s_source).isin(banned)
+    pb, sb = source_key(p_source).isin(*banned), source_key(s_source).isin(*banned)
     has = lambda c: F.coalesce(c, F.lit("")) != ""
     return F.when(~(pb | sb) | (~pb & has(p_url)), F.lit(None).cast("string")).when(~sb & has(s_url), s_url).when(pb & has(p_url), F.lit(""))
 

@@ -212,32 +212,29 @@ def w6_assign_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.assign_slugs(posts, posts.where("false").select(F.col("post_title").alias("slug")))
 
 
-def _bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.listings(spark, sf_dir).where("post_status <> 'trash'")
-
-
 @register()
 def j7_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.duplicate_pairs(_bucketed(spark, sf_dir))
+    return resolve.duplicate_pairs(B.live_listings(spark, sf_dir))
 
 
-def _planned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = _bucketed(spark, sf_dir)
-    one = F.struct("post_id", "post_title", "post_content", "ticket_url", "thumb_id")
-    pairs = resolve.duplicate_pairs(events).select(F.col("a").alias("ia"), F.col("b").alias("ib"), "city_slug", "day")
-    both = pairs.join(events.select(F.col("post_id").alias("ia"), one.alias("a")), "ia").join(events.select(F.col("post_id").alias("ib"), one.alias("b")), "ib")
-    plan = resolve.plan_merge(both.select("a", "b"))
-    return plan.withColumns({"a": F.least("primary_id", "secondary_id"), "b": F.greatest("primary_id", "secondary_id")}).join(pairs.select(F.col("ia").alias("a"), F.col("ib").alias("b"), "city_slug", "day"), ["a", "b"])
+@register(f"""WITH {B.LISTINGS}, {_TITLES}, f AS (SELECT post_id, {_FP} AS fp, lower(trim(city_slug)) AS city, strftime(CAST(start_utc AS TIMESTAMP) - INTERVAL 6 HOUR, '%Y-%m-%d') AS day FROM titles WHERE post_status <> 'trash' AND trim(coalesce(city_slug, '')) <> ''),
+  g AS (SELECT *, min(post_id) OVER (PARTITION BY city, day, fp) AS a FROM f) SELECT a, post_id AS b, CAST(1 AS DOUBLE) AS ratio FROM g WHERE post_id > a""")
+def j7_exact_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.duplicate_pairs(B.live_listings(spark, sf_dir)).where("exact").select("a", "b", "ratio")
 
 
 @register()
 def m2_plan_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _planned(spark, sf_dir).select("primary_id", "secondary_id", "new_url", "new_thumb", "takes_content")
+    events = B.live_listings(spark, sf_dir)
+    one = F.struct("post_id", "post_title", "post_content", "ticket_url", "thumb_id", "source_name")
+    pairs = resolve.duplicate_pairs(events).select("a", "b")
+    both = pairs.join(events.select(F.col("post_id").alias("a"), one.alias("one")), "a").join(events.select(F.col("post_id").alias("b"), one.alias("other")), "b")
+    return resolve.plan_merge(both.select(F.col("one").alias("a"), F.col("other").alias("b")), banned=["src1"])
 
 
 @register()
 def m4_merge_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.merge_all(_planned(spark, sf_dir).select("city_slug", "day", "a", "b", "primary_id", "secondary_id"))
+    return resolve.merge_all(B.live_listings(spark, sf_dir))
 
 
 @register(f"WITH {B.LISTINGS}, {_TITLES}, f AS (SELECT post_id AS seq, {_FP} AS fp FROM titles), k AS (SELECT fp, min(seq) AS post_id FROM f WHERE seq % 2 = 0 GROUP BY 1), l AS (SELECT fp, min(seq) AS post_id FROM f WHERE seq % 3 = 0 GROUP BY 1) SELECT seq, f.fp, coalesce(k.post_id, l.post_id) AS post_id, k.post_id IS NULL AND l.post_id IS NOT NULL AS backfill FROM f LEFT JOIN k USING (fp) LEFT JOIN l USING (fp)")

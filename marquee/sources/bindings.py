@@ -21,6 +21,12 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("post_id"), title.alias("post_title"), F.col("text").alias("post_content"), status.alias("post_status"), F.col("source").alias("source_name"), F.col("lang").alias("city_slug"))
 
 
+def live_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings that aren't in the trash, with their local start (the table's cities are all of the default zone)."""
+    local = F.date_format(F.from_utc_timestamp(F.to_timestamp("start_utc"), "America/Chicago"), "yyyy-MM-dd HH:mm:ss")
+    return listings(spark, sf_dir).where("post_status <> 'trash'").withColumn("start_local", local)
+
+
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posts with city, start, image and ticket link; the date follows from the title, so that copies meet."""
     n = F.col("post_id")
