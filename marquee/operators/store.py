@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marquee.tables import written
+
 
 def pivot_meta(meta: DataFrame, keys: list[str]) -> DataFrame:
     """A row a post, a column a key with its largest value. The keys are filtered before the one shuffle, maxima combine before it."""
@@ -86,11 +88,15 @@ def upsert(target: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
     return target.join(updates.select(keys).distinct(), keys, "left_anti").unionByName(updates)
 
 
-def ensure_members(names: DataFrame, members: DataFrame, name: str, ident: str) -> DataFrame:
+def ensure_members(names: DataFrame, members: DataFrame, name: str, ident: str, parts: int = 64) -> DataFrame:
     """members and a new one for each unknown name; new ids follow the largest, by name.
 
-    Only the unknown names, which a store sees once, are numbered in one order."""
+    Unknown names are dealt in ranges, and each range is numbered from where the ones before it end, so no task sees
+    them all."""
     new = names.select(name).where(F.col(name).isNotNull()).distinct().join(members.select(name), name, "left_anti")
-    most = members.agg(F.coalesce(F.max(ident), F.lit(0)).alias("most"))
-    numbered = new.select(name, F.row_number().over(Window.orderBy(name)).alias("n")).join(F.broadcast(most))
-    return members.select(ident, name).unionByName(numbered.select((F.col("most") + F.col("n")).cast("long").alias(ident), name))
+    dealt = written(new.repartitionByRange(parts, name).withColumn("part", F.spark_partition_id()), "new-members")
+    sizes = dealt.groupBy("part").agg(F.count("*").alias("n"))  # at most `parts` rows
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    most = members.agg(F.coalesce(F.max(ident), F.lit(0)).cast("long").alias("most")).first()["most"]
+    numbered = dealt.withColumn("i", F.row_number().over(Window.partitionBy("part").orderBy(name))).join(F.broadcast(before), "part")
+    return members.select(ident, name).unionByName(numbered.select((F.col("i") + F.col("before") + F.lit(most)).cast("long").alias(ident), name))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquee.functions import text as T
+from marquee.functions.urls import unwrap_redirect
 from marquee.operators.store import cascade_delete, upsert
 
 
@@ -158,8 +159,12 @@ def source_stats(events: DataFrame, as_of: str) -> DataFrame:
     return events.groupBy("source_name").agg(F.count("*").alias("last_count")).withColumn("last_run", F.lit(as_of))
 
 
-def score_sources(events: DataFrame, candidates: DataFrame, as_of: str, least: int = 5, least_upcoming: int = 1, images: float = 0.3, off_topic: float = 0.5, pattern: str = r"\bprivate\b|\binternal\b|\bstaff\b") -> DataFrame:
-    """A verdict a candidate (source_name, duplicate_of) from its trial events: counts first, then shares.
+#: Titles of events that are for members of a house alone.
+OFF_TOPIC = r"\b(staff meeting|board meeting|private rental|closed for private event|employee training|hoa meeting|city council meeting)\b"
+
+
+def score_sources(events: DataFrame, candidates: DataFrame, as_of: str, least: int = 3, least_upcoming: int = 1, images: float = 0.3, off_topic: float = 0.5, pattern: str = OFF_TOPIC) -> DataFrame:
+    """A verdict a candidate (source_name, duplicate_of) from its trial events, the counts and shares behind it, and the reason.
 
     The first check that fails decides; poor image coverage alone asks for a review."""
     title = F.coalesce("title", F.lit(""))
@@ -169,8 +174,20 @@ def score_sources(events: DataFrame, candidates: DataFrame, as_of: str, least: i
     )
     out = candidates.join(each, "source_name", "left").na.fill(0, ["n_events", "n_upcoming", "n_images", "n_off_topic"])
     n = F.greatest("n_events", F.lit(1))
-    skip = F.col("duplicate_of").isNotNull() | (F.col("n_events") < least) | (F.col("n_upcoming") < least_upcoming) | (F.col("n_off_topic") / n >= off_topic)
-    return out.withColumn("verdict", F.when(skip, "SKIP").when(F.col("n_images") / n < images, "REVIEW").otherwise("WORTH_IT"))
+    image_share, off_share = F.col("n_images") / n, F.col("n_off_topic") / n
+    percent = lambda share: F.concat(F.bround(share * 100, 0).cast("long").cast("string"), F.lit("%"))
+    checks = [
+        ("SKIP", F.col("duplicate_of").isNotNull(), F.concat(F.lit("Likely duplicate of existing source '"), "duplicate_of", F.lit("' (name similarity)"))),
+        ("SKIP", F.col("n_events") < least, F.concat(F.lit("Trial scrape returned only "), F.col("n_events").cast("string"), F.lit(f" events (min {least})"))),
+        ("SKIP", F.col("n_upcoming") < least_upcoming, F.lit("No upcoming events -- calendar looks stale/dead")),
+        ("SKIP", off_share >= off_topic, F.concat(percent(off_share), F.lit(" of trial titles look off-topic (private/internal events)"))),
+        ("REVIEW", image_share < images, F.concat(F.lit("Low image coverage ("), percent(image_share), F.lit(" of trial events)"))),
+        ("WORTH_IT", F.lit(True), F.lit("Clean pass on all checks")),
+    ]
+    verdict, reason = F.when(checks[0][1], checks[0][0]), F.when(checks[0][1], checks[0][2])
+    for name, failed, why in checks[1:]:
+        verdict, reason = verdict.when(failed, name), reason.when(failed, why)
+    return out.withColumns({"image_rate": F.round(image_share, 2), "off_topic_fraction": F.round(off_share, 2), "verdict": verdict, "reason": reason})
 
 
 def vet_sources(events: DataFrame, fetches: DataFrame, sources: DataFrame, least: int = 3) -> DataFrame:
@@ -220,6 +237,24 @@ def resolve_ticket_url(p_source: Column, p_url: Column, s_source: Column, s_url:
     return F.when(~(pb | sb) | (~pb & has(p_url)), F.lit(None).cast("string")).when(~sb & has(s_url), s_url).when(pb & has(p_url), F.lit(""))
 
 
+def run_dedup(events: DataFrame, children: dict[str, tuple[DataFrame, str]], mode: str = "exact") -> tuple[DataFrame, dict[str, DataFrame]]:
+    """The posts that a dedup job deletes (post_id), and children without their rows. mode: exact (fingerprints),
+    normalized (title without promotion, and start) or fuzzy (what the greedy merge takes in)."""
+    from marquee.operators import resolve
+
+    if mode == "fuzzy":
+        gone = resolve.merge_all(events).select(F.col("secondary_id").alias("post_id"))
+    else:
+        gone = (resolve.exact_duplicates if mode == "exact" else resolve.normalized_duplicates)(events).where("is_delete").select("post_id")
+    return gone, cascade_delete(children, gone)
+
+
+def ticket_host_candidates(events: DataFrame, wrapper: str, host_name: str) -> DataFrame:
+    """(post_id, link, thumb_id) of events whose link, unwrapped, is of a ticket host, and that have an image."""
+    link = unwrap_redirect(F.col("ticket_url"), wrapper)
+    return events.where(F.contains(link, F.lit(host_name)) & F.col("thumb_id").isNotNull()).select("post_id", link.alias("link"), "thumb_id")
+
+
 def apply_merge(posts: DataFrame, planned: DataFrame, children: dict[str, tuple[DataFrame, str]]) -> tuple[DataFrame, dict[str, DataFrame]]:
     """posts with what each merged primary takes over and without secondaries; children without the latter's rows."""
     gone = planned.select(F.col("secondary_id").alias("post_id")).distinct()

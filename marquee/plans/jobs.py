@@ -26,9 +26,11 @@ def p1_require_image(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upkeep.require_image(rows, sources).select("post_id")
 
 
-@register(f"WITH {B.POSTS} SELECT post_id FROM posts WHERE regexp_matches(coalesce(post_content, ''), '(?i){T.CANCELLED}')")
+@register(f"WITH {B.POSTS} SELECT post_id FROM posts WHERE post_id % 9 < 2 OR regexp_matches(post_title, '(?i){T.CANCELLED}')")
 def p2_cancelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return upkeep.cancelled_events(B.posts(spark, sf_dir).select("post_id", F.col("post_content").alias("post_title"))).select("post_id")
+    n, title = F.col("post_id"), F.col("post_title")
+    said = F.when(n % 9 == 0, F.concat(title, F.lit(" **Cancelled**"))).when(n % 9 == 1, F.concat(F.lit(" cancelled: "), title)).when(n % 9 == 2, F.concat(F.lit("Canceled plans "), title)).otherwise(title)
+    return upkeep.cancelled_events(B.posts(spark, sf_dir).select("post_id", said.alias("post_title"))).select("post_id")
 
 
 @register(f"WITH {B.POSTS} SELECT post_id, post_status FROM posts WHERE post_status <> 'trash'")
@@ -58,10 +60,11 @@ def p8_filter_by_city(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upkeep.filter_by_city(raw, filters).select("c_custkey", "city_slug")
 
 
-@register("SELECT n_nationkey AS id, n_name AS name FROM nation WHERE n_nationkey % 3 <> 0 ORDER BY n_regionkey, n_nationkey")
+@register("SELECT s_suppkey AS id, s_name AS name FROM supplier WHERE s_suppkey % 3 <> 0")
 def p10_select_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    status = F.when(F.col("n_nationkey") % 3 == 0, "rejected").when(F.col("n_nationkey") % 3 == 1, "active").otherwise("probation")
-    rows = B.read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("city_slug"), status.alias("status"))
+    n = F.col("s_suppkey")
+    status = F.when(n % 3 == 0, "rejected").when(n % 3 == 1, "active").otherwise("probation")
+    rows = B.read(spark, sf_dir, "supplier").select(n.alias("id"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("city_slug"), status.alias("status"))
     return upkeep.select_sources(rows, ["active", "probation"]).select("id", "name")
 
 
@@ -151,9 +154,9 @@ def a5_store_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upkeep.store_health(B.posts(spark, sf_dir), {"postmeta": B.postmeta(spark, sf_dir), "relations": _relations(spark, sf_dir)})
 
 
-@register("SELECT s_suppkey AS term_taxonomy_id, count(l_suppkey) AS n FROM supplier LEFT JOIN (SELECT l_suppkey FROM lineitem WHERE l_orderkey % 100 = 0) ON l_suppkey = s_suppkey GROUP BY 1")
+@register("SELECT s_suppkey AS term_taxonomy_id, count(l_suppkey) AS n FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY 1")
 def a6_term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return upkeep.term_counts(_relations(spark, sf_dir).where("post_id % 100 = 0"), _taxonomies(spark, sf_dir))
+    return upkeep.term_counts(_relations(spark, sf_dir), _taxonomies(spark, sf_dir))
 
 
 @register(f"WITH {B.LISTINGS} SELECT source_name, count(*) AS last_count, '{AS_OF}' AS last_run FROM listings GROUP BY 1")
@@ -161,23 +164,31 @@ def a7_source_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upkeep.source_stats(B.listings(spark, sf_dir), AS_OF)
 
 
-@register(f"""WITH {B.LISTINGS}, e AS (SELECT source_name, count(*) AS n_events, count(*) FILTER (WHERE substr(start_utc, 1, 10) >= '2026-01-08') AS n_upcoming, count(thumb_id) FILTER (WHERE post_id % 4 = 0) AS n_images FROM listings WHERE source_name IS NOT NULL GROUP BY 1)
-  SELECT source_name, n_events, n_upcoming, n_images, CASE WHEN source_name = 'src1' OR n_events < 5 OR n_upcoming < 1 THEN 'SKIP' WHEN n_images / n_events < 0.17 THEN 'REVIEW' ELSE 'WORTH_IT' END AS verdict FROM e""")
+@register(f"""WITH {B.LISTINGS}, e AS (SELECT city_slug || '-' || (post_id % 40) AS source_name, count(*) AS n_events, count(*) FILTER (WHERE substr(start_utc, 1, 10) >= '2026-01-27') AS n_upcoming,
+    count(thumb_id) FILTER (WHERE post_id % 2 = 0) AS n_images, count(*) FILTER (WHERE post_id % 40 = 7) AS n_off_topic FROM listings WHERE city_slug IS NOT NULL GROUP BY 1)
+  SELECT source_name, n_events, n_upcoming, n_images, n_off_topic, round(n_images / n_events, 2) AS image_rate,
+    CASE WHEN source_name = 'en-1' OR n_events < 3 OR n_upcoming < 1 OR n_off_topic >= 0.5 * n_events THEN 'SKIP' WHEN n_images / n_events < 0.3 THEN 'REVIEW' ELSE 'WORTH_IT' END AS verdict,
+    CASE WHEN source_name = 'en-1' THEN 'Likely duplicate of existing source ''en-0'' (name similarity)' WHEN n_events < 3 THEN 'Trial scrape returned only ' || n_events || ' events (min 3)'
+      WHEN n_upcoming < 1 THEN 'No upcoming events -- calendar looks stale/dead' WHEN n_off_topic >= 0.5 * n_events THEN '100% of trial titles look off-topic (private/internal events)'
+      WHEN n_images / n_events < 0.3 THEN 'Low image coverage (' || CAST(round_even(n_images / n_events * 100, 0) AS BIGINT) || '% of trial events)' ELSE 'Clean pass on all checks' END AS reason FROM e""")
 def a8_score_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = B.listings(spark, sf_dir).where("source_name IS NOT NULL")
-    trial = rows.select("source_name", F.lit("").alias("title"), F.col("start_utc").alias("start_date"), F.when(F.col("post_id") % 4 == 0, F.col("thumb_id").cast("string")).alias("image_url"))
-    candidates = rows.select("source_name").distinct().withColumn("duplicate_of", F.when(F.col("source_name") == "src1", "src0"))
-    return upkeep.score_sources(trial, candidates, AS_OF, images=0.17).select("source_name", "n_events", "n_upcoming", "n_images", "verdict")
+    n = F.col("post_id")
+    rows = B.listings(spark, sf_dir).where("city_slug IS NOT NULL").withColumn("source_name", F.concat_ws("-", "city_slug", (n % 40).cast("string")))
+    title = F.when(n % 40 == 7, F.concat(F.lit("Board Meeting: "), F.coalesce("post_title", F.lit("")))).otherwise(F.lit("A private show"))
+    trial = rows.select("source_name", title.alias("title"), F.col("start_utc").alias("start_date"), F.when(n % 2 == 0, F.col("thumb_id").cast("string")).alias("image_url"))
+    candidates = rows.select("source_name").distinct().withColumn("duplicate_of", F.when(F.col("source_name") == "en-1", "en-0"))
+    return upkeep.score_sources(trial, candidates, "2026-01-27").select("source_name", "n_events", "n_upcoming", "n_images", "n_off_topic", "image_rate", "verdict", "reason")
 
 
-@register("""WITH e AS (SELECT l_suppkey AS s, count(*) AS n FROM lineitem WHERE l_orderkey % 200 = 0 GROUP BY 1), v AS (SELECT s_suppkey AS source_id, coalesce(n, 0) AS n_events FROM supplier LEFT JOIN e ON s = s_suppkey),
-  w AS (SELECT *, CASE WHEN n_events >= 3 THEN 'PROMOTE' WHEN n_events = 0 AND source_id % 3 <> 0 THEN 'REJECT' ELSE 'REVIEW' END AS verdict FROM v)
+@register("""WITH e AS (SELECT l_suppkey + l_suppkey % 2 AS s, count(*) AS n FROM lineitem GROUP BY 1), v AS (SELECT s_suppkey AS source_id, coalesce(n, 0) AS n_events FROM supplier LEFT JOIN e ON s = s_suppkey),
+  w AS (SELECT *, CASE WHEN n_events >= 1190 THEN 'PROMOTE' WHEN n_events = 0 AND source_id % 3 <> 0 THEN 'REJECT' ELSE 'REVIEW' END AS verdict FROM v)
   SELECT *, CASE verdict WHEN 'PROMOTE' THEN 'active' WHEN 'REJECT' THEN 'rejected' ELSE 'probation' END AS status FROM w""")
 def a9_vet_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = B.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("source_id"))
-    events = _relations(spark, sf_dir).where("post_id % 200 = 0").select(F.col("term_taxonomy_id").alias("source_id"))
+    # Odd suppliers' rows count for the next even one, so that some have none.
+    events = _relations(spark, sf_dir).select((F.col("term_taxonomy_id") + F.col("term_taxonomy_id") % 2).alias("source_id"))
     fetches = s.withColumn("http_status", F.when(F.col("source_id") % 3 == 0, 403).otherwise(200))
-    return upkeep.vet_sources(events, fetches, s.withColumn("status", F.lit("probation")))
+    return upkeep.vet_sources(events, fetches, s.withColumn("status", F.lit("probation")), least=1190)
 
 
 @register("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) FILTER (WHERE l_quantity > 25) / count(*) >= 0.5)")
@@ -210,8 +221,21 @@ def m3_resolve_ticket_url(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(f"WITH {B.LISTINGS}, {_TITLES}, f AS (SELECT post_id, {_FP} AS fp FROM titles), k AS (SELECT min(post_id) AS post_id FROM f GROUP BY fp), {B.POSTMETA} SELECT meta_id, post_id FROM postmeta WHERE post_id IS NULL OR post_id IN (SELECT post_id FROM k) OR post_id NOT IN (SELECT post_id FROM listings)")
 def m7_run_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gone = resolve.exact_duplicates(B.listings(spark, sf_dir)).where("is_delete").select("post_id")
-    return upkeep.cascade_delete({"meta": (B.postmeta(spark, sf_dir).select("meta_id", "post_id"), "post_id")}, gone)["meta"].select("meta_id", "post_id")
+    meta = {"meta": (B.postmeta(spark, sf_dir).select("meta_id", "post_id"), "post_id")}
+    return upkeep.run_dedup(B.listings(spark, sf_dir), meta)[1]["meta"].select("meta_id", "post_id")
+
+
+@register(rf"""WITH {B.LISTINGS}, k AS (SELECT post_id, lower(trim(regexp_replace(trim(post_title), '(?i){T.PROMO_SUFFIX}', '', 'g'))) AS t, start_utc, regexp_matches(trim(post_title), '(?i){T.PROMO_SUFFIX}') AS promo FROM listings),
+  d AS (SELECT post_id FROM k QUALIFY row_number() OVER (PARTITION BY t, start_utc ORDER BY promo, post_id) > 1), {B.POSTMETA} SELECT meta_id, post_id FROM postmeta WHERE post_id IS NULL OR post_id NOT IN (SELECT post_id FROM d)""")
+def m7_run_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    meta = {"meta": (B.postmeta(spark, sf_dir).select("meta_id", "post_id"), "post_id")}
+    return upkeep.run_dedup(B.listings(spark, sf_dir), meta, "normalized")[1]["meta"].select("meta_id", "post_id")
+
+
+@register()
+def m7_run_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    posts = {"posts": (B.posts(spark, sf_dir).select("post_id", "post_title"), "post_id")}
+    return upkeep.run_dedup(B.live_listings(spark, sf_dir), posts, "fuzzy")[1]["posts"].select("post_id", "post_title")
 
 
 @register(f"""WITH {B.LISTINGS}, e AS (SELECT post_id, CAST(start_utc AS TIMESTAMP) AS t, CASE WHEN post_id % 4 = 1 THEN 7 ELSE 6 END AS h FROM listings)

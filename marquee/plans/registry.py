@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee.functions import category, urls
 from marquee.functions import text as T
+from marquee.functions.times import guess_timezone
 from marquee.operators import resolve, store
 from marquee.plans import digest
 from marquee.sources import bindings as B
@@ -34,9 +35,14 @@ _PIVOT = ", ".join(f"max(CASE WHEN meta_key = '{k}' THEN meta_value END) AS \"{k
 _IN = ", ".join(f"'{k}'" for k in EVENT_TYPES)
 
 
+_LOCAL = "CAST(start_utc AS TIMESTAMP) - INTERVAL 6 HOUR"
+
+
 @register(f"""WITH {B.LISTINGS}, w AS (SELECT *, row_number() OVER (PARTITION BY city_slug ORDER BY start_utc, post_id) AS rank
     FROM listings WHERE post_status = 'publish' AND start_utc >= '2026-01-08 00:00:00' AND start_utc < '2026-01-15 00:00:00')
-  SELECT city_slug, rank, post_id, post_title, start_utc, coalesce(ticket_url, 'https://example.com/events/' || post_id || '/') AS url, CAST(thumb_id AS VARCHAR) AS thumb_id,
+  SELECT city_slug, rank, post_id, post_title, start_utc, strftime({_LOCAL}, '%Y-%m-%d %H:%M:%S') AS start_local,
+    strftime({_LOCAL}, '%A, %B %-d') || CASE WHEN post_id % 24 = 6 THEN '' ELSE ' at ' || strftime({_LOCAL}, '%-I:%M %p') END AS shown,
+    coalesce(ticket_url, 'https://example.com/events/' || post_id || '/') AS url, CASE WHEN ticket_url IS NULL THEN 'More Info' ELSE 'Get Tickets' END AS action, CAST(thumb_id AS VARCHAR) AS thumb_id,
     CASE WHEN post_id % 4 = 0 THEN '$' || (post_id % 50) ELSE '' END AS cost,
     CASE WHEN length(coalesce(post_content, '')) > 120 THEN substr(post_content, 1, 120) || '…' ELSE coalesce(post_content, '') END AS description FROM w WHERE rank <= 8""")
 def t1_weekly_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,10 +133,10 @@ def s13_calendar_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.calendar_index(B.listings(spark, sf_dir).select("post_id", "start_utc", end.alias("end_utc")))
 
 
-@register("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'new' ELSE 'old' END AS state FROM customer WHERE c_custkey % 5 <> 0 OR c_custkey % 3 = 0")
+@register("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'new' ELSE 'old' END AS state FROM customer")
 def s14_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = B.read(spark, sf_dir, "customer").select("c_custkey")
-    return store.upsert(c.where("c_custkey % 5 <> 0").withColumn("state", F.lit("old")), c.where("c_custkey % 3 = 0").withColumn("state", F.lit("new")), ["c_custkey"])
+    return store.upsert(c.withColumn("state", F.lit("old")), c.where("c_custkey % 3 = 0").withColumn("state", F.lit("new")), ["c_custkey"])
 
 
 _PROMO = T.PROMO_SUFFIX
@@ -168,12 +174,16 @@ def f17_f20_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.listings(spark, sf_dir).select("post_id", urls.unwrap_redirect(u, "w.example.org").alias("unwrapped"), urls.host(u).alias("host"), urls.first_path_segment(u).alias("segment"), urls.affiliate_rank(u).alias("rank"), urls.add_param(u, "ref", "9").alias("tagged"))
 
 
+def _genres(n: Column) -> Column:
+    return F.when(n % 4 == 0, F.array(F.lit("Arts & Theatre"), F.lit(" Comedy"))).when(n % 4 == 1, F.array(F.lit("Miscellaneous"))).when(n % 4 == 2, F.array(F.lit("Unheard of")))
+
+
 _SCAN = " ".join(f"WHEN regexp_matches(t, '{category.keyword_pattern(w).replace(chr(39), chr(39) * 2)}') THEN '{slug}'" for slug, w in category.CATEGORIES if w)
 
 
-@register(f"WITH {B.POSTS}, x AS (SELECT post_id, lower(post_title || ' ' || coalesce(post_content, '')) AS t FROM posts) SELECT post_id, CASE {_SCAN} ELSE 'more-to-do' END AS category FROM x")
+@register(f"WITH {B.POSTS}, x AS (SELECT post_id, lower(post_title || ' ' || coalesce(post_content, '')) AS t FROM posts) SELECT post_id, CASE WHEN post_id % 4 = 0 THEN 'comedy' WHEN post_id % 4 = 1 THEN 'more-to-do' {_SCAN} ELSE 'more-to-do' END AS category FROM x")
 def f21_categorize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.posts(spark, sf_dir).select("post_id", category.categorize(F.lit(None).cast("array<string>"), F.col("post_title"), F.col("post_content")).alias("category"))
+    return B.posts(spark, sf_dir).select("post_id", category.categorize(_genres(F.col("post_id")), F.col("post_title"), F.col("post_content")).alias("category"))
 
 
 @register(rf"WITH {B.POSTS} SELECT post_id, substr(regexp_replace(regexp_replace(lower(trim(post_title)), '[^\p{{L}}\p{{N}}_\s-]', '', 'g'), '[\s_-]+', '-', 'g'), 1, 200) AS slug FROM posts")
@@ -205,11 +215,15 @@ def w5_dedup_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.first_of(rows, ["source_name", "t", "day"], "post_id", ["post_id", "post_title"])
 
 
-@register(rf"""WITH {B.POSTS}, s AS (SELECT post_id, substr(regexp_replace(regexp_replace(lower(trim(post_title)), '[^\p{{L}}\p{{N}}_\s-]', '', 'g'), '[\s_-]+', '-', 'g'), 1, 200) AS base FROM posts), r AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY post_id) - 1 AS n FROM s)
+_SLUG = r"substr(regexp_replace(regexp_replace(lower(trim(post_title)), '[^\p{L}\p{N}_\s-]', '', 'g'), '[\s_-]+', '-', 'g'), 1, 200)"
+
+
+@register(rf"""WITH {B.POSTS}, s AS (SELECT post_id, {_SLUG} AS base FROM posts WHERE post_id % 3 <> 0), t AS (SELECT DISTINCT {_SLUG} AS base FROM posts WHERE post_id % 3 = 0),
+  r AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY post_id) - 1 + (base IN (SELECT base FROM t))::INT AS n FROM s)
   SELECT post_id, CASE WHEN n = 0 THEN base ELSE base || '-' || n END AS slug FROM r""")
 def w6_assign_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     posts = B.posts(spark, sf_dir)
-    return resolve.assign_slugs(posts, posts.where("false").select(F.col("post_title").alias("slug")))
+    return resolve.assign_slugs(posts.where("post_id % 3 <> 0"), posts.where("post_id % 3 = 0").select(T.slugify(F.col("post_title")).alias("slug")).distinct())
 
 
 @register()
@@ -246,7 +260,8 @@ def j5_resolve_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(f"WITH {B.LISTINGS} SELECT post_id, post_title, start_utc FROM listings WHERE start_utc >= '2026-01-08 00:00:00' AND start_utc < '2026-02-12 00:00:00'")
 def p4_upcoming(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest.upcoming(B.listings(spark, sf_dir).select("post_id", "post_title", "start_utc"), AS_OF, 35)
+    rows = B.listings(spark, sf_dir)
+    return digest.upcoming(rows, AS_OF, 35, guess_timezone(F.col("city_slug"))).select("post_id", "post_title", "start_utc")
 
 
 @register(f"WITH {B.LISTINGS} SELECT post_id, start_utc FROM listings WHERE source_name = 'src3' AND (thumb_id IS NULL OR length(coalesce(post_content, '')) < 100) ORDER BY start_utc, post_id LIMIT 200")
@@ -272,10 +287,10 @@ def j10_new_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.where("domain <> ''").join(known, "domain", "left_anti").groupBy("domain").agg(F.min("page_id").alias("page_id"))
 
 
-@register("WITH n AS (SELECT n_name AS name, n_nationkey AS id FROM nation WHERE n_nationkey % 2 = 0), u AS (SELECT DISTINCT n_name AS name FROM nation WHERE n_name NOT IN (SELECT name FROM n)) SELECT CAST(id AS BIGINT) AS id, name FROM n UNION ALL SELECT (SELECT max(id) FROM n) + row_number() OVER (ORDER BY name), name FROM u")
+@register("WITH n AS (SELECT c_name AS name, c_custkey AS id FROM customer WHERE c_custkey % 3 = 0), u AS (SELECT DISTINCT c_name AS name FROM customer WHERE c_name NOT IN (SELECT name FROM n)) SELECT CAST(id AS BIGINT) AS id, name FROM n UNION ALL SELECT (SELECT max(id) FROM n) + row_number() OVER (ORDER BY name), name FROM u")
 def j13_ensure_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nation = B.read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"))
-    return store.ensure_members(nation, nation.where("id % 2 = 0"), "name", "id")
+    names = B.read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("id"), F.col("c_name").alias("name"))
+    return store.ensure_members(names, names.where("id % 3 = 0"), "name", "id")
 
 
 @register(f"WITH {B.LISTINGS}, {_TITLES}, f AS (SELECT post_id, {_FP} AS fp FROM titles) SELECT min(post_id) AS post_id FROM f GROUP BY fp")
