@@ -13,10 +13,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A vertex of at least this many links, and of a thousandth of all, is joined apart.
-HOT = 1000
+#: A key of at least this many rows, and of a thousandth of all, is joined apart; fewer rows than FEW are one small join.
+HOT, FEW = 1000, 20_000
 
-from marquee.tables import written
+from marquee.tables import tidy, written
 
 
 def joined(rows: DataFrame, facts: DataFrame, key: str, n: int) -> DataFrame:
@@ -25,7 +25,7 @@ def joined(rows: DataFrame, facts: DataFrame, key: str, n: int) -> DataFrame:
     Keys of max(HOT, n / 1000) rows or more are at most 1000 whatever n is: these are broadcast, so that the rows
     of a hub stay where they are, and only the others meet by a shuffle on the key."""
     bound = max(HOT, n // 1000)
-    if n < bound:
+    if n < FEW:
         return rows.join(facts.drop("held"), key)
     hot = F.broadcast(facts.where(F.col("held") >= bound).drop("held"))
     return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(facts.where(F.col("held") < bound).drop("held"), key))
@@ -52,6 +52,7 @@ def components(links: DataFrame) -> DataFrame:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
 
     now = state(links)
+    tidy(links.sparkSession)
     while now[0]:
         # The large star never adds rows.
         links = written(_small_star(_large_star(links, now[0]), now[0]), "links")

@@ -13,6 +13,7 @@ from marquee.functions.times import guess_timezone
 from marquee.operators import resolve, store
 from marquee.plans import digest
 from marquee.sources import bindings as B
+from marquee.tables import ready
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -23,7 +24,11 @@ EVENT_TYPES = ["signup", "error", "click", "view", "purchase"]
 
 def register(sql: str | None = None) -> Callable[[Query], Query]:
     def keep(f: Query) -> Query:
-        QUERIES[f.__name__] = f
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ready(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[f.__name__] = run
         if sql:
             ORACLES[f.__name__] = sql
         return f

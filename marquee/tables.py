@@ -1,11 +1,23 @@
-"""Intermediate tables in the folder that driver and executors share."""
+"""Intermediate tables in the folder that driver and executors share, and workers that find this library."""
 
 from __future__ import annotations
 
+import gc
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def ready(spark: SparkSession) -> None:
+    """Lets Python workers import this library where the driver found it by its own path."""
+    env = spark.sparkContext.environment
+    parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if ROOT not in parts:
+        env["PYTHONPATH"] = os.pathsep.join([ROOT, *parts])
+
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; in local mode, where that is unset, a temporary folder."""
@@ -21,6 +33,13 @@ def clear_tables(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Collects the driver's garbage between steps: Spark removes the shuffles and broadcasts of finished ones only then,
+    and a driver of many small plans keeps to a small heap."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/marquee/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
