@@ -1,57 +1,22 @@
-"""What the operators of this subpackage share: tables in the cluster's shared folder, folds, word arrays."""
+"""What the operators of this subpackage share: folds, samples, columns made in Arrow batches, word arrays."""
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+from marquee.tables import new_path, ready, written  # noqa: F401
 
 #: The white space of the word contracts, x20 and x09 to x0D.
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def ready(spark: SparkSession) -> None:
-    """Lets Python workers import this library where the driver found it by its own path."""
-    env = spark.sparkContext.environment
-    parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if ROOT not in parts:
-        env["PYTHONPATH"] = os.pathsep.join([ROOT, *parts])
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; in local mode, where that is unset, a temporary one."""
-    held = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not held and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
-    return (held or f"/tmp/checkpoints/{spark.sparkContext.applicationId}").rstrip("/")
-
-
-def clear_tables(spark: SparkSession) -> None:
-    """Removes all tables that this application has written to the shared folder. Results that read them end with them."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/marquee/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/marquee/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts lineage, and is read again after an executor is lost."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def fold(column: str, parts: int) -> Column:
     """crc32 of the id as text, modulo parts; a null id counts as the empty text, whose remainder is 0."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % parts
@@ -242,13 +207,13 @@ def bounded_rows(features: DataFrame, name: str, most_bytes: int) -> list:
     Rows left out by the bound pass their weight on to the label's others."""
     held = written(features, name)
     binary = [f.name for f in held.schema.fields if isinstance(f.dataType, T.BinaryType)]
+    # Numbers alone are ranked; the features stay where they are until those kept are sent.
+    sizes = held.select("label", "draw", "weight", sum((F.length(c) for c in binary), F.lit(64)).cast("long").alias("size")).groupBy("label", "draw").agg(F.sum("size").alias("size"), F.sum("weight").alias("weight"))
+    total = F.sum("size").over(Window.partitionBy("label").orderBy("draw").rowsBetween(Window.unboundedPreceding, 0))
     labels = max(1, held.select("label").distinct().count())
-    size = sum((F.length(c) for c in binary), F.lit(64)).cast("long")
-    before = Window.partitionBy("label").orderBy("draw", *binary)
-    total = F.sum(size).over(before.rowsBetween(Window.unboundedPreceding, 0))
-    every = F.sum("weight").over(Window.partitionBy("label"))
-    kept = held.select("*", total.alias("total"), every.alias("every")).where(F.col("total") <= most_bytes // labels)
-    rows = kept.drop("total").orderBy("draw", "label", *binary).collect()
+    cut = sizes.withColumn("total", total).groupBy("label").agg(F.max(F.when(F.col("total") <= most_bytes // labels, F.col("draw"))).alias("last"), F.sum("weight").alias("every"))
+    rows = held.join(F.broadcast(cut), "label").where("draw <= last").collect()  # cut: a row a label
+    rows.sort(key=lambda r: (r["draw"], str(r["label"]), *(r[c] for c in binary)))
     share = {}
     for r in rows:
         share[r["label"]] = share.get(r["label"], 0.0) + r["weight"]

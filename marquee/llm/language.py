@@ -126,7 +126,7 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int, float]], size: int, class
     return solve(z, n), solve(zb, nb, 0.0, 0.0)
 
 
-def fit(docs: DataFrame, cap: int = 800, bits: int = 16, most_bytes: int = 64 << 20, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
+def fit(docs: DataFrame, cap: int = 800, bits: int = 16, most_bytes: int = 24 << 20, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """docs: the rows to learn from. Frequencies cover all of them, training at most cap a language and most_bytes of features."""
     ready(docs.sparkSession)
     docs = docs.where(F.col(lang_col).isNotNull())

@@ -34,7 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marquee.llm.common import Words, mix, ready, slices, spread, written
-from marquee.llm.graph import components, joined
+from marquee.operators.graph import components, joined
+from marquee.tables import tidy
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -217,6 +218,7 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, bands: int = 4
     needed = members.select(F.col("rep").alias("id")).union(members.select("hub")).distinct()
     texts = written(docs.join(needed, "id", "left_semi"), "texts")
 
+    tidy(df.sparkSession)
     counted = written(stars.join(_verified(stars, texts, k, kind), ["u", "v"]), "star-links")
     linked = F.expr(f"100 * shared >= {percent} * (n_u + n_v - shared)")
     found = counted.where(linked).select("u", "v")

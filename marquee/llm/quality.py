@@ -89,7 +89,7 @@ def sgd(rows: list[tuple[np.ndarray, np.ndarray, int, float]], bits: int, width:
     return Model(vectors @ (layer[:, 1] - layer[:, 0]), float(bias[1] - bias[0]), bits)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", cap: int = 1500, bits: int = 16, most_bytes: int = 64 << 20, **options) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", cap: int = 1500, bits: int = 16, most_bytes: int = 24 << 20, **options) -> Model:
     """A model from at most cap documents a label value, and most_bytes of features; docs and labels: the rows to learn from."""
     ready(docs.sparkSession)
     sample = labelled_sample(docs, labels, label, cap).select(F.col("label").cast("int").alias("label"), "weight", "draw", "text")

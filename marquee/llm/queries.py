@@ -80,6 +80,16 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.copies(images, "image_id").select("image_id", F.floor(F.col("image_id") / n).alias("vec_id"), change.alias("change"), "n_corners", "n_links", "group_id")
 
 
+def text_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics and the base rule of op2, which SQL can express."""
+    return op2_rules(spark, sf_dir).drop("kept")
+
+
+def base_span_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many base spans op6 finds, which SQL can express."""
+    return op6_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_rules": op2_rules,
@@ -91,9 +101,45 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_neardup": op8_neardup,
     "op9_quality": op9_quality,
     "op10_media": op10_media,
+    "text_statistics": text_statistics,
+    "base_span_counts": base_span_counts,
 }
 
+_WORDS = r"[w FOR w IN regexp_split_to_array({text}, '[\x20\x09-\x0D]+') IF w <> '']"
+
 ORACLES: dict[str, str] = {
+    "text_statistics": rf"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS row FROM documents),
+        w AS (SELECT *, {_WORDS.format(text="text")} AS words, [l FOR l IN string_split(text, chr(10)) IF regexp_matches(l, '[^\x20\x09-\x0D]')] AS lines FROM d),
+        five AS (SELECT row, i, array_to_string(words[i : i + 4], ' ') AS run FROM w, unnest(range(1, len(words) - 3)) AS t(i)),
+        twice AS (SELECT row, i FROM five QUALIFY count(*) OVER (PARTITION BY row, run) > 1),
+        covered AS (SELECT row, count(DISTINCT i + k) AS n FROM twice, unnest(range(0, 5)) AS t(k) GROUP BY 1)
+        SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+               CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+               coalesce(n, 0) AS n_repeat_words, len(words) < 10 OR 100 * coalesce(n, 0) > 20 * len(words) AS base_failed
+        FROM w LEFT JOIN covered USING (row)
+    """,
+    "base_span_counts": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+        SELECT doc_id,
+               CAST(len([x FOR x IN regexp_extract_all(text, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1) IF length(x) >= 6]) AS BIGINT) AS n_assign,
+               CAST(len([x FOR x IN regexp_extract_all(text, 'AKIA[A-Z0-9]+') IF length(x) >= 20]) AS BIGINT) AS n_access,
+               CAST(len([x FOR x IN regexp_extract_all(text, '[0-9a-f]+') IF length(x) >= 24]) AS BIGINT) AS n_hex
+        FROM d
+    """,
+    "op8_neardup": rf"""
+        WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS words FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(words) < 2 THEN words ELSE list_sort(list_distinct([words[i] || ' ' || words[i + 1] FOR i IN range(1, len(words))])) END AS items FROM w),
+        c AS (SELECT items, min(doc_id) AS rep, len(items) AS n FROM s WHERE len(items) > 0 GROUP BY 1),
+        u AS (SELECT rep, n, unnest(items) AS item FROM c),
+        p AS (SELECT a.rep AS a, b.rep AS b FROM u a JOIN u b ON a.item = b.item AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+              GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+        l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+        r AS (SELECT rep AS id, rep AS root FROM c UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.id),
+        parts AS (SELECT id, min(root) AS component FROM r GROUP BY 1),
+        o AS (SELECT s.doc_id, CAST(len(s.items) AS BIGINT) AS n_shingles, coalesce(component, s.doc_id) AS component_id FROM s LEFT JOIN c USING (items) LEFT JOIN parts ON id = c.rep)
+        SELECT *, doc_id = component_id AS kept FROM o
+    """,
     "op7_warc": """
         WITH p AS (
             SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest

@@ -41,13 +41,28 @@ def features(texts: list[str | None], bits: int) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(docs), (np.concatenate(hashes) >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def encoded(places: np.ndarray) -> bytes:
+    """Ascending places as 16-bit gaps; 65535 stands for a gap that goes on."""
+    gaps = np.diff(places, prepend=-1) - 1
+    more = gaps // 65535
+    out = np.full(len(gaps) + int(more.sum()), 65535, dtype="<u2")
+    out[np.cumsum(more + 1) - 1] = gaps % 65535
+    return out.tobytes()
+
+
+def decoded(data: bytes) -> np.ndarray:
+    gaps = np.frombuffer(data, dtype="<u2")
+    ends = gaps != 65535
+    return (np.cumsum(gaps, dtype=np.int64)[ends] + np.arange(int(ends.sum()))).astype(np.int32)
+
+
 def _collect(bits: int) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 256, 1 << 20):
             doc, place = features(part.column(3).to_pylist(), bits)
             keys = np.unique((doc << bits) | place)
             stops = np.searchsorted(keys, np.arange(1, part.num_rows) << bits)
-            rows = [(x & ((1 << bits) - 1)).astype("<i4").tobytes() for x in np.split(keys, stops)]
+            rows = [encoded(x & ((1 << bits) - 1)) for x in np.split(keys, stops)]
             yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(rows, pa.binary())], ["label", "weight", "draw", "places"])
 
     return run
@@ -90,12 +105,13 @@ def loss(rows: list[tuple[np.ndarray, int, float]], weights: Weights) -> float:
     return float((weight * np.logaddexp(0, np.where(y == 1, -margin, margin))).sum() / weight.sum())
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", cap: int = 4000, bits: int = 18, most_bytes: int = 64 << 20, settings: tuple = ((0.3, 8.0), (1.0, 8.0), (1.0, 16.0)), **options) -> Weights:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", cap: int = 4000, bits: int = 18, most_bytes: int = 24 << 20, settings: tuple = ((0.3, 8.0), (1.0, 8.0), (1.0, 16.0)), **options) -> Weights:
     """Weights from at most cap documents a label value, and most_bytes of features; docs and labels: the rows to learn from."""
     ready(docs.sparkSession)
     sample = labelled_sample(docs, labels, label, cap).select(F.col("label").cast("int").alias("label"), "weight", "draw", "text")
     found = bounded_rows(sample.mapInArrow(_collect(bits), "label int, weight double, draw long, places binary"), "toxicity-sample", most_bytes)
-    rows = [(np.frombuffer(r["places"], dtype="<i4"), r["label"], weight) for r, weight in found]
+    rows = [(decoded(r["places"]), r["label"], weight) for r, weight in found]
+    del found
     train, apart = [r for k, r in enumerate(rows) if k % 3 != 2], rows[2::3]
     best = dict(zip(("alpha", "l1"), settings[0], strict=True))
     if len(settings) > 1 and apart and len({y for _, y, _ in train}) > 1:
