@@ -1,4 +1,4 @@
-"""Matches of new rows to known ones: equality on a block first, then bounds, the similarity helper on what is left."""
+"""Matches of new rows to known ones: candidates of a block by bounds, the similarity helper on what is left."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marquee.functions import text as T
+from marquee.operators.similar import similar_pairs
 
 
 def best(scored: DataFrame, key: str, other: str) -> DataFrame:
@@ -20,10 +21,14 @@ def match_existing(new: DataFrame, existing: DataFrame) -> DataFrame:
     the threshold; rows without a day or a city match nothing."""
     a = new.select("seq", "city_slug", "day", T.normalize_title(F.col("title")).alias("x")).where((F.col("x") != "") & (F.col("day") != ""))
     b = existing.select("post_id", "city_slug", "day", T.normalize_title(F.col("title")).alias("y")).where(F.col("y") != "")
-    prefix = T.is_headliner_prefix(F.col("x"), F.col("y"))
-    near = a.join(b, ["city_slug", "day"]).where((T.ratio_bound(F.col("x"), F.col("y")) >= T.THRESHOLD) | prefix)
-    ratio = F.greatest(T.title_ratio(F.col("x"), F.col("y")), F.when(prefix, F.lit(T.THRESHOLD)).otherwise(F.lit(0.0)))
-    return best(near.withColumn("ratio", ratio).where(F.col("ratio") >= T.THRESHOLD), "seq", "post_id")
+    keys = ["city_slug", "day"]
+    found = similar_pairs(a.select(*keys, F.col("seq").alias("id"), F.col("x").alias("text")), b.select(*keys, F.col("post_id").alias("id"), F.col("y").alias("text")), keys, T.THRESHOLD)
+    head = lambda df, c: df.where(F.length(c) >= T.LEAST_PREFIX).withColumn("head", F.substring(c, 1, T.LEAST_PREFIX))
+    begun = head(a, "x").join(head(b, "y"), [*keys, "head"]).where(T.is_headliner_prefix(F.col("x"), F.col("y"))).select("seq", "post_id", F.lit(1).alias("prefix"))
+    pairs = found.select(F.col("x").alias("seq"), F.col("y").alias("post_id"), F.lit(0).alias("prefix")).union(begun).groupBy("seq", "post_id").agg(F.max("prefix").alias("prefix"))
+    rows = pairs.join(a.select("seq", "x"), "seq").join(b.select("post_id", "y"), "post_id")
+    ratio = F.greatest(T.title_ratio(F.col("x"), F.col("y")), F.when(F.col("prefix") == 1, F.lit(T.THRESHOLD)).otherwise(F.lit(0.0)))
+    return best(rows.withColumn("ratio", ratio).where(F.col("ratio") >= T.THRESHOLD), "seq", "post_id")
 
 
 def _plain(c: Column) -> Column:
@@ -37,14 +42,17 @@ def match_listings(weak: DataFrame, listings: DataFrame, window_days: int = 2, l
     sides have one, lie at most window_days apart."""
     a = weak.select("post_id", "venue_name", "city_slug", F.col("day").alias("day_a"), _plain(F.col("title")).alias("x"))
     b = listings.select("listing_id", "venue_name", "city_slug", F.col("day").alias("day_b"), _plain(F.col("title")).alias("y"))
+    keys = ["venue_name", "city_slug"]
+    found = similar_pairs(b.select(*keys, F.col("listing_id").alias("id"), F.col("y").alias("text")), a.select(*keys, F.col("post_id").alias("id"), F.col("x").alias("text")), keys, least)
     close = F.coalesce(F.abs(F.datediff("day_a", "day_b")) <= window_days, F.lit(True))
-    near = a.join(b, ["venue_name", "city_slug"]).where(close & (T.ratio_bound(F.col("x"), F.col("y")) >= least))
-    return best(near.withColumn("ratio", T.title_ratio(F.col("y"), F.col("x"))).where(F.col("ratio") >= least), "post_id", "listing_id")
+    rows = found.select(F.col("x").alias("listing_id"), F.col("y").alias("post_id")).join(a.select("post_id", "day_a", F.col("x").alias("title_a")), "post_id").join(b.select("listing_id", "day_b", F.col("y").alias("title_b")), "listing_id").where(close)
+    return best(rows.withColumn("ratio", T.title_ratio(F.col("title_b"), F.col("title_a"))).where(F.col("ratio") >= least), "post_id", "listing_id")
 
 
 def duplicate_sources(candidates: DataFrame, sources: DataFrame, least: float = 0.85) -> DataFrame:
     """(candidate_id, source_id, ratio): the known source of the same city whose name a candidate's most resembles."""
     a = candidates.select("candidate_id", "city_slug", F.lower(F.trim("name")).alias("x")).where("x <> ''")
     b = sources.select("source_id", "city_slug", F.lower(F.trim("name")).alias("y")).where("y <> ''")
-    near = a.join(b, "city_slug").where(T.ratio_bound(F.col("x"), F.col("y")) >= least)
-    return best(near.withColumn("ratio", T.title_ratio(F.col("x"), F.col("y"))).where(F.col("ratio") >= least), "candidate_id", "source_id")
+    found = similar_pairs(a.select("city_slug", F.col("candidate_id").alias("id"), F.col("x").alias("text")), b.select("city_slug", F.col("source_id").alias("id"), F.col("y").alias("text")), ["city_slug"], least)
+    rows = found.select(F.col("x").alias("candidate_id"), F.col("y").alias("source_id")).join(a.select("candidate_id", F.col("x").alias("one")), "candidate_id").join(b.select("source_id", F.col("y").alias("other")), "source_id")
+    return best(rows.withColumn("ratio", T.title_ratio(F.col("one"), F.col("other"))).where(F.col("ratio") >= least), "candidate_id", "source_id")

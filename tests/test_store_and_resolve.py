@@ -1,3 +1,5 @@
+import pandas as pd
+
 from marquee.operators import resolve, store
 
 
@@ -19,7 +21,12 @@ def test_orphans_keep_null_safe(spark):
 def test_slugs_follow_those_taken(spark):
     new = spark.createDataFrame([(5, "A b"), (6, "a  B!"), (7, "c")], "post_id long, post_title string")
     taken = spark.createDataFrame([("a-b",), ("a-b-3",)], "slug string")
-    assert {r[0]: r[1] for r in resolve.assign_slugs(new, taken).collect()} == {5: "a-b-4", 6: "a-b-5", 7: "c"}
+    assert {r[0]: r[1] for r in resolve.assign_slugs(new, taken).collect()} == {5: "a-b-1", 6: "a-b-2", 7: "c"}
+    rows = [(1, "Foo"), (2, "foo!"), (3, "Foo 1"), (4, "Foo"), (5, "foo-1")]
+    taken = spark.createDataFrame([("foo-2",), ("foo-1-1",)], "slug string")
+    got = {r[0]: r[1] for r in resolve.assign_slugs(spark.createDataFrame(rows, "post_id long, post_title string"), taken).collect()}
+    assert len(set(got.values())) == 5 and not {"foo-2", "foo-1-1"} & set(got.values())
+    assert (got[1], got[2], got[3]) == ("foo", "foo-1", "foo-1-2")
 
 
 def _events(spark, titles):
@@ -33,9 +40,13 @@ def test_pairs_and_guards(spark):
     assert got == {(1, 2, False), (1, 9, True)}
 
 
-def test_greedy_merge_skips_stale(spark):
-    planned = spark.createDataFrame([("m", "d", 1, 2, 1, 2), ("m", "d", 1, 3, 1, 3), ("m", "d", 2, 3, 2, 3)], "city_slug string, day string, a long, b long, primary_id long, secondary_id long")
-    assert sorted(tuple(r) for r in resolve.merge_all(planned).collect()) == [(1, 2, True), (1, 3, True), (2, 3, False)]
+def test_greedy_merge_skips_stale():
+    """A cluster A, B, C: A takes B and C in, and the pair of B and C is stale."""
+    posts = pd.DataFrame({"post_id": [1, 2, 3], "class": [1, 2, 3], "fp": ["a", "b", "c"], "worth": [0, 0, 0]})
+    links = pd.DataFrame({"x": [1, 1, 2], "y": [2, 3, 3], "ratio": [0.9, 0.9, 0.9], "back": [0.9, 0.9, 0.9]})
+    assert resolve._walk(posts, links).to_numpy().tolist() == [[1, 2], [1, 3]]
+    posts["worth"] = [1, 0, 1]
+    assert resolve._walk(posts, links).to_numpy().tolist() == [[2, 1], [2, 3]]
 
 
 def test_plan_prefers_status_then_affiliate_then_image(spark):
