@@ -1,18 +1,24 @@
-"""Listings from landed files: each micro-batch adds rows of its own, and a view makes one post of each fingerprint.
+"""Listings from landed files: each micro-batch adds rows of its own, and posts are their fold, one a fingerprint.
 
 Batches never read or rewrite what is stored, so their cost follows the batch alone. A batch's folder bears its
-number and is overwritten, so one that is run again after a failure leaves no row twice."""
+number and is overwritten, so one that is run again after a failure leaves no row twice. ``compact`` folds what has
+landed into a snapshot of posts; reading folds only the batches that came after the last one onto it.
+
+    store/batches/batch=N     observations of a micro-batch
+    store/posts/upto=N        posts as the batches up to N leave them"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from marquee.functions import text as T
-from marquee.operators.upkeep import resolve_observed_times
+from marquee.operators.fold import TIMES, fold_observations
 
-SCHEMA = "seq long, title string, description string, start_utc string, city_slug string, image_url string, ticket_url string, source_name string"
+SCHEMA = "seq long, title string, description string, start_utc string, city_slug string, image_url string, ticket_url string, source_name string, category string"
+#: The order of observations is that of batches, then of rows; a snapshot comes before all of them.
+_SPAN = 1 << 40
 
 
 def normalized(rows: DataFrame) -> DataFrame:
@@ -25,26 +31,66 @@ def ingest_stream(spark: SparkSession, in_dir: str, store_dir: str, checkpoint:
     """Takes in all JSON-lines files that have landed in in_dir and stops; a later run takes in later ones."""
 
     def add(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{store_dir}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{store_dir}/batches/batch={number}")
 
     source = spark.readStream.schema(SCHEMA).json(in_dir)
     return normalized(source).writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def posts_of(observed: DataFrame) -> DataFrame:
-    """One post a fingerprint. observed: the columns of SCHEMA with fp, and batch.
+def post_id(fp: Column) -> Column:
+    """A number that a fingerprint always has: its first 60 bits."""
+    return F.conv(F.substring(fp, 1, 15), 16, 10).cast("long")
+
 
-    The earliest start stands; text, image and link are those of the first observation that has one. All are
-    aggregates, so observations of a much repeated listing combine before the shuffle."""
-    order = F.struct("batch", "seq")
-    first = lambda c: F.min_by(c, F.when(F.trim(F.coalesce(c, F.lit(""))) != "", order)).alias(c)
-    filled = observed.groupBy("fp").agg(F.min_by("title", order).alias("title"), *(first(c) for c in ("description", "image_url", "ticket_url")), F.min_by("city_slug", order).alias("city_slug"), F.count("*").alias("n_observed"))
-    seen = observed.select(F.col("fp").alias("post_id"), (F.col("batch") * (1 << 40) + F.col("seq")).alias("seq"), "start_utc")
-    return filled.join(resolve_observed_times(seen, ["start_utc"]).withColumnRenamed("post_id", "fp"), "fp")
+def posts_of(observed: DataFrame) -> DataFrame:
+    """One post a fingerprint, by the rules of fold_observations. observed: the columns of SCHEMA with fp, and batch."""
+    once = [c for c in ("n_before",) if c in observed.columns]
+    seq = F.col("batch") * _SPAN + F.col("seq")
+    start = F.col("start_utc")
+    seen = observed.select(F.col("fp").alias("post_id"), seq.alias("seq"), "title", start, *(start.alias(c) for c in TIMES if c not in ("start_utc", "timezone")), F.lit("UTC").alias("timezone"), "ticket_url", "source_name", "description", "image_url", "category")
+    city = observed.groupBy(F.col("fp").alias("post_id")).agg(F.min_by("city_slug", seq).alias("city_slug"), F.sum(F.coalesce("n_before", F.lit(1)) if once else F.lit(1)).cast("long").alias("n_observed"))
+    folded = fold_observations(seen).drop("n_observed").join(city, "post_id")
+    return folded.select(post_id(F.col("post_id")).alias("post_id"), F.col("post_id").alias("fp"), "title", "description", "image_url", "ticket_url", "category", "city_slug", "start_utc", "n_observed")
+
+
+def _children(spark: SparkSession, folder: str, name: str) -> list[int]:
+    """The numbers of the folders name=N."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+    written = [n for n in found if n.startswith(f"{name}=") and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS"))]
+    return sorted(int(n.split("=")[1]) for n in written)
+
+
+def _observed(spark: SparkSession, store_dir: str) -> tuple[DataFrame, int]:
+    """What is to be folded, the last snapshot as observations of a time before all others, and the last batch in it."""
+    upto, batches = _children(spark, f"{store_dir}/posts", "upto"), _children(spark, f"{store_dir}/batches", "batch")
+    last = upto[-1] if upto else -1
+    new = [b for b in batches if b > last]
+    schema = f"{SCHEMA}, fp string, batch long, n_before long"
+    rows = spark.createDataFrame([], schema)
+    if upto:
+        held = spark.read.parquet(f"{store_dir}/posts/upto={last}")
+        # Its link is of the source whose mark it bears.
+        source = F.when(F.contains("ticket_url", F.lit("aaid=")), "ticketmaster")
+        rows = held.withColumnsRenamed({"n_observed": "n_before"}).withColumns({"seq": F.lit(0).cast("long"), "batch": F.lit(-1).cast("long"), "source_name": source}).select(rows.columns)
+    if new:
+        landed = spark.read.option("basePath", f"{store_dir}/batches").parquet(*[f"{store_dir}/batches/batch={b}" for b in new])
+        rows = rows.unionByName(landed.withColumns({"batch": F.col("batch").cast("long"), "n_before": F.lit(1).cast("long")}).select(rows.columns))
+    return rows, max([last, *new])
 
 
 def read_posts(spark: SparkSession, store_dir: str) -> DataFrame:
-    return posts_of(spark.read.parquet(store_dir).withColumn("batch", F.col("batch").cast("long")))
+    return posts_of(_observed(spark, store_dir)[0])
+
+
+def compact(spark: SparkSession, store_dir: str) -> int:
+    """Writes a snapshot of the posts as of the last landed batch and returns that batch's number; older snapshots stay for
+    those who read them. Running it again, or after a failure, gives the same snapshot."""
+    rows, last = _observed(spark, store_dir)
+    if last not in _children(spark, f"{store_dir}/posts", "upto"):
+        posts_of(rows).write.mode("overwrite").parquet(f"{store_dir}/posts/upto={last}")
+    return last
 
 
 def enrichment_queue(posts: DataFrame) -> DataFrame:
