@@ -21,7 +21,10 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import sys
+from array import array
 from collections.abc import Iterator
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +38,14 @@ MARK = "▁"
 CLOSING = ".,;:!?#$%&*|)\"'"
 
 
+def _packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class Agenda:
     """Merges by the model's scores."""
 
@@ -42,43 +53,49 @@ class Agenda:
         import sentencepiece
 
         self.library = sp = sentencepiece.SentencePieceProcessor(model_file=model)
-        self.ids, self.cost, self.beside = {}, {}, set()
+        self.ids, cost, self.beside = {}, {}, set()
         self.bytes = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         for i in range(sp.get_piece_size()):
             if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)):
                 piece = sp.id_to_piece(i)
-                self.ids[piece], self.cost[piece] = i, -sp.get_score(i)
+                self.ids[piece], cost[piece] = i, -sp.get_score(i)
                 self.beside.update(zip(piece, piece[1:], strict=False))
         if any(b == MARK and a != MARK for a, b in self.beside) or any("\n" in p for p in self.ids):
             raise ValueError("pieces of this vocabulary cross words")
+        places = {c: r for r, c in enumerate(sorted(set(cost.values())))}
+        self.rank = {piece: places[c] for piece, c in cost.items()}
         self.cores = Lookup(lambda units: [self.merge(u) for u in units])
         self.corrected = 0
 
     def merge(self, unit: str) -> bytes:
         """The ids of one unit, as little-endian 16- or 32-bit integers."""
-        cost, symbols, n = self.cost, list(unit), len(unit)
-        agenda = [(cost[p], i, p) for i in range(n - 1) if (p := symbols[i] + symbols[i + 1]) in cost]
+        # An agenda entry is a pair's rank by score and its place, in one number; equal scores have equal ranks.
+        rank, symbols, n = self.rank.get, list(unit), len(unit)
+        bits = n.bit_length()
+        low = (1 << bits) - 1
+        agenda = [(r << bits) | i for i, p in enumerate(map(add, symbols, symbols[1:])) if (r := rank(p)) is not None]
         heapq.heapify(agenda)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while agenda:
-            _, i, pair = heapq.heappop(agenda)
+            entry = heapq.heappop(agenda)
+            i = entry & low
             j = after[i]
-            if not symbols[i] or j >= n or symbols[i] + symbols[j] != pair:
+            if j >= n or not symbols[i] or rank(pair := symbols[i] + symbols[j]) != entry >> bits:
                 continue  # one of the two has merged with another meanwhile
             symbols[i], symbols[j] = pair, ""
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if (p := pair + symbols[k]) in cost:
-                    heapq.heappush(agenda, (cost[p], i, p))
-            if (k := before[i]) >= 0 and (p := symbols[k] + pair) in cost:
-                heapq.heappush(agenda, (cost[p], k, p))
+                if (r := rank(pair + symbols[k])) is not None:
+                    heapq.heappush(agenda, (r << bits) | i)
+            if (k := before[i]) >= 0 and (r := rank(symbols[k] + pair)) is not None:
+                heapq.heappush(agenda, (r << bits) | k)
         out: list[int] = []
         for s in symbols:
             if s:
                 i = self.ids.get(s)
                 out.extend([i] if i is not None else [self.bytes[b] for b in s.encode()])
-        return np.array(out, dtype="<u4").tobytes()
+        return _packed(out)
 
     def units(self, tokens: list[str]) -> list[bytes]:
         """Ids of units as Lookup keys them: with the mark where a space stands before, else led by a newline."""
@@ -95,13 +112,13 @@ class Agenda:
         checkable = [k for k, t in enumerate(tokens) if t[:1] == MARK and t != MARK]
         theirs = self.library.encode([tokens[k][1:] for k in checkable], num_threads=1)
         for k, ids in zip(checkable, theirs, strict=True):
-            data = np.array(ids, dtype="<u4").tobytes()
+            data = _packed(ids)
             if data != own[k]:
                 own[k], self.corrected = data, self.corrected + 1
         rest = [k for k, t in enumerate(tokens) if t[:1] != MARK or t == MARK]
         lead = len(self.library.encode("x"))
         for k, ids in zip(rest, self.library.encode(["x" + tokens[k] for k in rest], num_threads=1), strict=True):
-            data = np.array(ids[lead:], dtype="<u4").tobytes()  # x stays by itself before a newline or a blank
+            data = _packed(ids[lead:])  # x stays by itself before a newline or a blank
             if data != own[k]:
                 own[k], self.corrected = data, self.corrected + 1
         return own

@@ -172,8 +172,6 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = batch.schema
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             runs.setdefault(row[0], []).append(row)
-    for rows in runs.values():  # a shuffle may hand over a run's blocks in any order; sorting a sorted list is one pass
-        rows.sort(key=_order)
     held: list[tuple] = []
     for row in LoserTree([runs[r] for r in sorted(runs)], _order) if runs else ():
         held.append(row)
@@ -200,8 +198,11 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds)], names)
 
 
-def write_archives(pages: DataFrame, least: int = 1000, most_bytes: int = 256 << 20, id_col: str = "page_id") -> DataFrame:
-    """Writes pages (id_col, url, html) as WARC files in the shared folder; the table of their sorted capture runs."""
+def write_archives(pages: DataFrame, least: int = 1000, most_bytes: int = 256 << 20, id_col: str = "page_id", broadcast_rows: int = 100_000) -> DataFrame:
+    """Writes pages (id_col, url, html) as WARC files in the shared folder; the table of their sorted capture runs.
+
+    Up to broadcast_rows repeated payloads (48 bytes each) are broadcast; beyond, pages and payloads meet by a shuffle
+    on the digest. The result is the same."""
     spark = pages.sparkSession
     ready(spark)
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
@@ -209,7 +210,7 @@ def write_archives(pages: DataFrame, least: int = 1000, most_bytes: int = 256 <<
     # The captures of payloads that come more than once, without the payloads; only these need a response named.
     large = rows.where(F.col("bytes") >= least).groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("held")).where("held > 1").select("digest", "response")
     large = written(large, "repeated-payloads")
-    small = large.count() <= 100_000  # 48 bytes a row: broadcast up to about 5 MB, else both sides shuffle by digest
+    small = large.count() <= broadcast_rows
     rows = rows.join(F.broadcast(large) if small else large, "digest", "left")
     other = F.when((F.col("bytes") >= least) & (F.col("page_id") != F.col("response")), F.col("response"))
     captured = F.lit(EPOCH) + F.coalesce(F.col("page_id"), F.lit(0)) % (1 << 30)
@@ -220,7 +221,9 @@ def write_archives(pages: DataFrame, least: int = 1000, most_bytes: int = 256 <<
 def merge_index(runs: DataFrame, rows_per_range: int = 200_000) -> DataFrame:
     """The capture history: all runs in the order of URL key, timestamp and id, from partition to partition."""
     ranges = max(8, runs.count() // rows_per_range)
-    return runs.repartitionByRange(ranges, "url_key", "captured", "page_id", "file", "at").mapInArrow(_merge, _RUN)
+    dealt = runs.repartitionByRange(ranges, "url_key", "captured", "page_id", "file", "at")
+    # Each range holds about rows_per_range rows, and its pieces of runs come sorted from the shuffle.
+    return dealt.sortWithinPartitions("run", "url_key", "captured", "page_id", "at").mapInArrow(_merge, _RUN)
 
 
 def read_archives(index: DataFrame) -> DataFrame:

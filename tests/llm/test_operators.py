@@ -194,6 +194,9 @@ def test_warc_round_trip_and_order(spark):
     want = Counter((i, len((h or "").encode()), hashlib.sha1((h or "").encode()).hexdigest(), "revisit" if h == big and i != 55 else "response", 55 if h == big and i != 55 else None) for i, _, h in rows)
     assert Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got) == want
     assert warc.read_archives(warc.merge_index(warc.write_archives(pages.where("false")))).count() == 0
+    # Without a broadcast, and with many ranges, the records are the same.
+    again = warc.read_archives(warc.merge_index(warc.write_archives(pages, most_bytes=2000, broadcast_rows=0), rows_per_range=3)).collect()
+    assert [tuple(r) for r in again] == [tuple(r) for r in got]
 
 
 @pytest.mark.parametrize("k", [0, 1, 2, 3, 7])
