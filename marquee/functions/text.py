@@ -21,6 +21,7 @@ NUMBERED = r"\((?:night|day|part|show|set)\s*\d+\)"
 FIXTURE = r"\bvs?\.?\s"
 LINEUP = r"\bfeaturing\b|\bfeat\.|\blineup\b|&\s*friends\b|\bin the round\b"
 STATUS = r"\bcancell?ed\b|\bsold\s*out\b|\bpostponed\b"
+OFF_TOPIC = r"\b(staff meeting|board meeting|private rental|closed for private event|employee training|hoa meeting|city council meeting)\b"
 CANCELLED = r"\*+\s*cancelled\s*\*+|^\s*cancelled\s*[:\-]|\bevent\s+cancelled\b"
 STOP_WORDS = ("the", "a", "an", "of", "with", "and", "or", "in", "at", "w", "presents", "performs", "live", "tour")
 LEAST_TOKENS, LEAST_PREFIX, THRESHOLD = 3, 8, 0.80
@@ -55,6 +56,11 @@ def is_cancelled(title: Column) -> Column:
     return has(title, CANCELLED)
 
 
+def is_off_topic(title: Column) -> Column:
+    """Whether a title is of an event for members of a house alone."""
+    return has(title, OFF_TOPIC)
+
+
 def has_promo_suffix(title: Column) -> Column:
     return has(F.trim(_text(title)), PROMO_SUFFIX)
 

@@ -159,11 +159,7 @@ def source_stats(events: DataFrame, as_of: str) -> DataFrame:
     return events.groupBy("source_name").agg(F.count("*").alias("last_count")).withColumn("last_run", F.lit(as_of))
 
 
-#: Titles of events that are for members of a house alone.
-OFF_TOPIC = r"\b(staff meeting|board meeting|private rental|closed for private event|employee training|hoa meeting|city council meeting)\b"
-
-
-def score_sources(events: DataFrame, candidates: DataFrame, as_of: str, least: int = 3, least_upcoming: int = 1, images: float = 0.3, off_topic: float = 0.5, pattern: str = OFF_TOPIC) -> DataFrame:
+def score_sources(events: DataFrame, candidates: DataFrame, as_of: str, least: int = 3, least_upcoming: int = 1, images: float = 0.3, off_topic: float = 0.5, pattern: str = T.OFF_TOPIC) -> DataFrame:
     """A verdict a candidate (source_name, duplicate_of) from its trial events, the counts and shares behind it, and the reason.
 
     The first check that fails decides; poor image coverage alone asks for a review."""

@@ -293,7 +293,7 @@ def f25_strip_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _listed(spark: SparkSession, sf_dir: str, odd: int, ident: str) -> DataFrame:
-    return B.listings(spark, sf_dir).where(F.col("post_id") % 2 == odd).select(F.col("post_id").alias(ident), F.col("post_title").alias("title"), F.substring("start_utc", 1, 10).alias("day"), F.col("source_name").alias("venue_name"), "city_slug")
+    return B.live_listings(spark, sf_dir).where(F.col("post_id") % 2 == odd).select(F.col("post_id").alias(ident), F.col("post_title").alias("title"), F.substring("start_local", 1, 10).alias("day"), F.col("source_name").alias("venue_name"), "city_slug")
 
 
 @register()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from marquee.functions import category, urls
 from marquee.functions import text as T
 from marquee.functions.times import guess_timezone
-from marquee.operators import resolve, store
+from marquee.operators import resolve, store, upkeep
 from marquee.plans import digest
 from marquee.sources import bindings as B
 from marquee.tables import ready
@@ -256,6 +256,18 @@ def m4_merge_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.merge_all(B.live_listings(spark, sf_dir))
 
 
+@register()
+def m5_apply_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The live posts with what each takes over, without those merged into others."""
+    events = B.live_listings(spark, sf_dir)
+    one = F.struct("post_id", "post_title", "post_content", "ticket_url", "thumb_id", "source_name")
+    merged = resolve.merge_all(events).select(F.least("primary_id", "secondary_id").alias("a"), F.greatest("primary_id", "secondary_id").alias("b"))
+    both = merged.join(events.select(F.col("post_id").alias("a"), one.alias("one")), "a").join(events.select(F.col("post_id").alias("b"), one.alias("other")), "b")
+    planned = resolve.plan_merge(both.select(F.col("one").alias("a"), F.col("other").alias("b")), banned=["src1"])
+    posts, _ = upkeep.apply_merge(events, planned, {})
+    return posts.select("post_id", "post_title", "ticket_url", "thumb_id")
+
+
 @register(f"WITH {B.LISTINGS}, {_TITLES}, f AS (SELECT post_id AS seq, {_FP} AS fp FROM titles), k AS (SELECT fp, min(seq) AS post_id FROM f WHERE seq % 2 = 0 GROUP BY 1), l AS (SELECT fp, min(seq) AS post_id FROM f WHERE seq % 3 = 0 GROUP BY 1) SELECT seq, f.fp, coalesce(k.post_id, l.post_id) AS post_id, k.post_id IS NULL AND l.post_id IS NOT NULL AS backfill FROM f LEFT JOIN k USING (fp) LEFT JOIN l USING (fp)")
 def j5_resolve_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = B.listings(spark, sf_dir).select(F.col("post_id").alias("seq"), T.fingerprint(F.col("post_title"), F.col("start_utc"), F.col("city_slug")).alias("fp"))

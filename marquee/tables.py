@@ -5,6 +5,8 @@ from __future__ import annotations
 import gc
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,10 +29,28 @@ def shared_dir(spark: SparkSession) -> str:
     return (held or f"/tmp/checkpoints/{spark.sparkContext.applicationId}").rstrip("/")
 
 
+_SCRATCH: list[str] = []
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are removed at the end: for a step whose result is written outside of them."""
+    _SCRATCH.append(f"scratch-{uuid.uuid4().hex}/")
+    try:
+        yield
+    finally:
+        _delete(spark, f"{shared_dir(spark)}/marquee/{spark.sparkContext.applicationId}/{_SCRATCH.pop()}")
+        tidy(spark)
+
+
 def clear_tables(spark: SparkSession) -> None:
     """Removes all tables that this application has written to the shared folder. Results that read them end with them."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/marquee/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{shared_dir(spark)}/marquee/{spark.sparkContext.applicationId}")
 
 
 def tidy(spark: SparkSession) -> None:
@@ -41,7 +61,7 @@ def tidy(spark: SparkSession) -> None:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/marquee/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/marquee/{spark.sparkContext.applicationId}/{_SCRATCH[-1] if _SCRATCH else ''}{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

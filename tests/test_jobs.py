@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marquee.functions import dates, display, pages, urls
+from marquee.functions import text as T
 from marquee.operators import fold, reports, store, upkeep
 from marquee.sources import store as tables
 from marquee.tables import clear_tables, shared_dir
@@ -107,7 +108,7 @@ def test_triage_and_reports(spark):
     current = spark.createDataFrame([(1, ["live-music-concerts"])], "post_id long, slugs array<string>")
     assert {r["post_id"]: (r["new"], r["changed"]) for r in reports.recategorize(posts, raw, current).collect()} == {1: (["live-music-concerts"], False), 2: (["more-to-do"], True)}
     # Fixed values of the scoring rules.
-    assert "private rental" in upkeep.OFF_TOPIC and upkeep.score_sources.__defaults__[:4] == (3, 1, 0.3, 0.5)
+    assert "private rental" in T.OFF_TOPIC and upkeep.score_sources.__defaults__[:4] == (3, 1, 0.3, 0.5)
 
 
 def test_members_and_cities(spark):
