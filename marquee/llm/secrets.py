@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from itertools import islice, takewhile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from marquee.llm.common import appended
 
 KINDS = ("assign", "access", "hex", "novel")
-CONTEXT, PLAIN = 48, 1.0
+CONTEXT, PLAIN, CHAINED = 48, 1.05, 0.85
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -91,7 +92,8 @@ def bar(candidate: str, threshold: float) -> float:
 
 
 def novel_spans(text: str, base: list[tuple[int, int, str]], novelty: Novelty, threshold: float) -> list[tuple[int, int, str]]:
-    out, reach, near = [], -1, 0  # reach: how far the context of sensitive words seen so far goes
+    # reach: how far the context of sensitive words goes; near: the end of the last one found; at: the first base span still ahead
+    out, reach, near, at = [], -1, 0, 0
     words = _SENSITIVE.finditer(text)
     word = next(words, None)
     if word is None:
@@ -104,10 +106,16 @@ def novel_spans(text: str, base: list[tuple[int, int, str]], novelty: Novelty, t
         if start > reach and not chained:
             near = 0
             continue
-        if any(a <= start and end <= b for a, b, _ in base):
+        while at < len(base) and base[at][1] <= start:
+            at += 1
+        held = [(a, b) for a, b, _ in takewhile(lambda span: span[0] < end, islice(base, at, None)) if start < b]
+        if any(a <= start and end <= b for a, b in held):
             near = end
             continue
-        if novelty(text, start, end) >= bar(m[0], threshold):
+        # What a base span covers tells nothing of the rest.
+        rest = "".join(c for i, c in enumerate(m[0], start) if not any(a <= i < b for a, b in held)) if held else m[0]
+        # After one of its kind a candidate's symbols are known already.
+        if novelty(text, start, end) >= bar(rest, threshold) * (CHAINED if chained or held else 1.0):
             out.append((start, end, "novel"))
             near = end
         else:
