@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee.llm import language, neardup, packing, queries, secrets, toxicity
-from marquee.llm.common import fold, new_path, written
+from marquee.llm.common import fold
+from marquee.tables import new_path, scratch, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -48,8 +49,11 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     rows = written(docs.select(COLUMNS).withColumn("row", F.monotonically_increasing_id()), "numbered")
     groups = neardup.near_duplicates(rows, k=5, percent=80, id_col="row").select("row", F.col("component_id").alias("group"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    kept = written(groups.join(rows.select("doc_id", "row"), "row").groupBy("group").agg(F.min(order).alias("first")).select("first.row"), "kept")
-    return rows.join(kept, "row", "left_semi").select(COLUMNS)
+    groups = written(groups.join(rows.select("doc_id", "row"), "row"), "grouped")
+    first = groups.groupBy("group").agg(F.min(order)["row"].alias("row"))
+    # What goes is far less than what stays: numbers alone, and small enough to be broadcast for most inputs.
+    dropped = written(groups.select("row").join(first, "row", "left_anti"), "dropped")
+    return rows.join(dropped, "row", "left_anti").select(COLUMNS)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -82,6 +86,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = queries.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = new_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):  # what the stage itself writes goes with it
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
