@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, with production parameters, over whole tables."""
+"""The registered queries of the numbered operators, with production parameters, over whole tables."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm import language, media, neardup, packing, pieces, quality, rules, secrets, toxicity, warc
+from marquee.llm import language, media, neardup, packing, pieces, quality, rules, secrets, sharding, toxicity, warc, whitening
 from marquee.llm.common import fold
 
 
@@ -80,6 +80,14 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.copies(images, "image_id").select("image_id", F.floor(F.col("image_id") / n).alias("vec_id"), change.alias("change"), "n_corners", "n_links", "group_id")
 
 
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.interleave(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def text_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The statistics and the base rule of op2, which SQL can express."""
     return op2_rules(spark, sf_dir).drop("kept")
@@ -101,6 +109,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_neardup": op8_neardup,
     "op9_quality": op9_quality,
     "op10_media": op10_media,
+    "op12_sharding": op12_sharding,
+    "op13_whitening": op13_whitening,
     "text_statistics": text_statistics,
     "base_span_counts": base_span_counts,
 }
@@ -140,6 +150,20 @@ ORACLES: dict[str, str] = {
         o AS (SELECT s.doc_id, CAST(len(s.items) AS BIGINT) AS n_shingles, coalesce(component, s.doc_id) AS component_id FROM s LEFT JOIN c USING (items) LEFT JOIN parts ON id = c.rep)
         SELECT *, doc_id = component_id AS kept FROM o
     """,
+    "op12_sharding": """
+        WITH RECURSIVE step(i, c, k) AS (SELECT i, i, 0 FROM range(256) t(i) UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM step WHERE k < 8),
+        t AS (SELECT list(c ORDER BY i) AS crc FROM step WHERE k = 8),
+        b AS (SELECT doc_id, source, hex(encode(coalesce(text, ''))) AS hex FROM documents),
+        e AS (SELECT *, list_prepend(4294967295, [CAST('0x' || x AS BIGINT) FOR x IN regexp_extract_all(hex, '..')]) AS bytes FROM b),
+        d AS (SELECT doc_id, CASE WHEN source IS NULL THEN '' ELSE 's' || source END AS stratum, length(hex) // 2 + 1 AS size,
+              xor(list_reduce(bytes, lambda a, x: xor(a // 256, crc[xor(a, x) % 256 + 1])), 4294967295) AS text_crc32 FROM e, t),
+        h AS (SELECT *, CAST('0x' || substr(md5('7|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || text_crc32), 1, 15) AS BIGINT) AS draw,
+              CAST('0x' || substr(md5('7|' || stratum), 1, 13) AS BIGINT) / 4503599627370496.0 AS shift FROM d),
+        r AS (SELECT *, (row_number() OVER (PARTITION BY stratum ORDER BY draw, doc_id, text_crc32, size) - 1 + shift) / count(*) OVER (PARTITION BY stratum) AS part FROM h),
+        p AS (SELECT *, row_number() OVER (ORDER BY part, stratum, draw, doc_id, text_crc32, size) - 1 AS place, count(*) OVER () AS n FROM r),
+        s AS (SELECT *, CAST(place * 8 // n AS INTEGER) AS shard FROM p)
+        SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'rows' AS law, shard, CAST(place - (shard * n + 7) // 8 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s
+    """,
     "op7_warc": """
         WITH p AS (
             SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest

@@ -59,7 +59,7 @@ def test_queries_on_odd_and_empty_tables(spark, tables, empty, name):
     got = [r.asDict() for r in queries.QUERIES[name](spark, tables).collect()]
     assert queries.QUERIES[name](spark, empty).count() == 0
     docs = _documents()
-    if name not in ("op1_packing", "op7_warc", "op10_media"):
+    if name not in ("op1_packing", "op7_warc", "op10_media", "op11_collocations", "op13_whitening"):
         assert Counter(r["doc_id"] for r in got) == Counter(i for i, *_ in docs)
     for column, parts, held in (("op3_language", 4, 2), ("op5_toxicity", 5, 0), ("op9_quality", 5, 0)):
         if name == column:
