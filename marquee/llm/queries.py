@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm import language, media, neardup, packing, pieces, quality, rules, secrets, sharding, toxicity, warc, whitening
+from marquee.llm import collocations, language, media, neardup, packing, pieces, quality, rules, secrets, sharding, toxicity, warc, whitening
 from marquee.llm.common import fold
 
 
@@ -80,6 +80,10 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.copies(images, "image_id").select("image_id", F.floor(F.col("image_id") / n).alias("vec_id"), change.alias("change"), "n_corners", "n_links", "group_id")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave(table(spark, sf_dir, "documents"))
 
@@ -109,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_neardup": op8_neardup,
     "op9_quality": op9_quality,
     "op10_media": op10_media,
+    "op11_collocations": op11_collocations,
     "op12_sharding": op12_sharding,
     "op13_whitening": op13_whitening,
     "text_statistics": text_statistics,
@@ -150,6 +155,24 @@ ORACLES: dict[str, str] = {
         o AS (SELECT s.doc_id, CAST(len(s.items) AS BIGINT) AS n_shingles, coalesce(component, s.doc_id) AS component_id FROM s LEFT JOIN c USING (items) LEFT JOIN parts ON id = c.rep)
         SELECT *, doc_id = component_id AS kept FROM o
     """,
+    "op11_collocations": r"""
+        WITH t AS (SELECT row_number() OVER () AS row, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+        p AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM t),
+        w AS (SELECT lang, [x FOR x IN regexp_split_to_array(piece, '[\x20\x09]+') IF x <> ''] AS words FROM p),
+        total AS (SELECT lang, sum(len(words)) AS n FROM w GROUP BY 1),
+        g AS (SELECT lang, words[i : i + k - 1] AS words FROM w, unnest(range(1, 6)) AS s(k), unnest(range(1, len(words) - k + 2)) AS q(i)),
+        f AS (SELECT lang, words, array_to_string(words, ' ') AS phrase, len(words) AS k, count(*) AS a FROM g GROUP BY 1, 2 HAVING count(*) >= 100),
+        c AS (SELECT * FROM f WHERE k > 1),
+        inside AS (SELECT DISTINCT c.lang, array_to_string(c.words[i : i + j - 1], ' ') AS phrase, c.a FROM c, unnest(range(2, k)) AS s(j), unnest(range(1, k - j + 2)) AS q(i)),
+        kept AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.lang = c.lang AND i.phrase = c.phrase AND 100 * i.a >= 100 * c.a)),
+        cut AS (SELECT lang, phrase, a, cut, array_to_string(words[1 : cut], ' ') AS one, array_to_string(words[cut + 1 : ], ' ') AS two FROM kept, unnest(range(1, k)) AS s(cut)),
+        scored AS (SELECT cut.lang, cut.phrase, cut.a, cut, x.a AS l, y.a AS r, n, (CAST(1000 AS HUGEINT) * cut.a * n) // (CAST(x.a AS HUGEINT) * y.a) AS score
+              FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = one JOIN f y ON y.lang = cut.lang AND y.phrase = two JOIN total ON total.lang = cut.lang),
+        least AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM least)
+        SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+        FROM ranked WHERE rank <= 2000
+    """,
     "op12_sharding": """
         WITH RECURSIVE step(i, c, k) AS (SELECT i, i, 0 FROM range(256) t(i) UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM step WHERE k < 8),
         t AS (SELECT list(c ORDER BY i) AS crc FROM step WHERE k = 8),
