@@ -252,9 +252,15 @@ def ticket_host_candidates(events: DataFrame, wrapper: str, host_name: str) -> D
 
 
 def apply_merge(posts: DataFrame, planned: DataFrame, children: dict[str, tuple[DataFrame, str]]) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """posts with what each merged primary takes over and without secondaries; children without the latter's rows."""
+    """posts with what each merged primary takes over and without secondaries; children without the latter's rows.
+
+    A primary's merges apply in their order, which is that of its secondaries: of each field the last value given stands,
+    and none leaves the field as it is. An empty link is a value. planned: the columns of plan_merge."""
     gone = planned.select(F.col("secondary_id").alias("post_id")).distinct()
-    takes = planned.groupBy(F.col("primary_id").alias("post_id")).agg(F.min_by("new_url", "secondary_id").alias("new_url"), F.min_by("new_thumb", "secondary_id").alias("new_thumb"))
-    changed = posts.join(takes, "post_id").withColumns({"ticket_url": F.coalesce("new_url", "ticket_url"), "thumb_id": F.coalesce("new_thumb", "thumb_id")}).select(posts.columns)
+    given = {"ticket_url": "new_url", "thumb_id": "new_thumb", "post_content": "new_content"}
+    given = {c: new for c, new in given.items() if c in posts.columns and new in planned.columns}
+    last = [F.max_by(new, F.when(F.col(new).isNotNull(), F.col("secondary_id"))).alias(new) for new in given.values()]
+    takes = planned.groupBy(F.col("primary_id").alias("post_id")).agg(*last)
+    changed = posts.join(takes, "post_id").withColumns({c: F.coalesce(new, F.col(c)) for c, new in given.items()}).select(posts.columns)
     kept = cascade_delete({"posts": (upsert(posts, changed, ["post_id"]), "post_id"), **children}, gone)
     return kept.pop("posts").select(posts.columns), kept

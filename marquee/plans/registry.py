@@ -265,7 +265,7 @@ def m5_apply_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = merged.join(events.select(F.col("post_id").alias("a"), one.alias("one")), "a").join(events.select(F.col("post_id").alias("b"), one.alias("other")), "b")
     planned = resolve.plan_merge(both.select(F.col("one").alias("a"), F.col("other").alias("b")), banned=["src1"])
     posts, _ = upkeep.apply_merge(events, planned, {})
-    return posts.select("post_id", "post_title", "ticket_url", "thumb_id")
+    return posts.select("post_id", "post_title", "post_content", "ticket_url", "thumb_id")
 
 
 @register(f"WITH {B.LISTINGS}, {_TITLES}, f AS (SELECT post_id AS seq, {_FP} AS fp FROM titles), k AS (SELECT fp, min(seq) AS post_id FROM f WHERE seq % 2 = 0 GROUP BY 1), l AS (SELECT fp, min(seq) AS post_id FROM f WHERE seq % 3 = 0 GROUP BY 1) SELECT seq, f.fp, coalesce(k.post_id, l.post_id) AS post_id, k.post_id IS NULL AND l.post_id IS NOT NULL AS backfill FROM f LEFT JOIN k USING (fp) LEFT JOIN l USING (fp)")
