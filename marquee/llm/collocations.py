@@ -40,9 +40,9 @@ _KINDS[[0x20, 0x09]] = 1
 _KINDS[[*b".,;:!?", *range(0x0A, 0x0E)]] = 3
 
 #: Words of the longest phrase, bytes of text that a task gathers before it adds up, and bytes of text to a range.
-LONGEST, GATHERED, TO_RANGE = 5, 8 << 20, 12 << 20
-#: Sampled positions a range.
-SAMPLED = 64
+LONGEST, GATHERED, TO_RANGE = 5, 5 << 20, 8 << 20
+#: Sampled positions a range; parts in which a language's phrases are ranked before the last ranking.
+SAMPLED, PARTS = 64, 32
 _BLOB = "range int, lang string, words binary, ids binary, counts binary, edges long"
 
 
@@ -75,7 +75,7 @@ class Pieces:
 
     def followed(self, codes: np.ndarray) -> np.ndarray:
         """For each position its word and the next four of its piece; 0 where the piece has ended."""
-        out = np.zeros((len(codes), LONGEST), dtype=np.int64)
+        out = np.zeros((len(codes), LONGEST), dtype=np.int32)
         for k in range(LONGEST):
             n = max(len(codes) - k, 0)
             out[:n, k] = np.where(self.piece[k:] == self.piece[:n], codes[k:], 0)
@@ -187,13 +187,14 @@ def _edges(bounds: list, gathered: int) -> callable:
                 continue
             coded = pieces.words().dictionary_encode()
             order = pc.sort_indices(coded.dictionary).to_numpy()
-            rank = np.empty(len(order), dtype=np.int64)
+            rank = np.empty(len(order), dtype=np.int32)
             rank[order] = np.arange(1, len(order) + 1)
             words = coded.dictionary.take(pa.array(order)).to_pylist()
             ids = pieces.followed(rank[coded.indices.to_numpy()])
             langs = sorted(set(given), key=str.encode)
-            lang = np.array([bisect_left(langs, g) for g in given], dtype=np.int64)[pieces.text]
+            lang = np.array([bisect_left(langs, g) for g in given], dtype=np.int32)[pieces.text]
             columns = [lang[here], *ids[here].T]
+            del pieces, coded, ids
             order = _order(columns, max(len(words), len(langs)))
             columns = [c[order] for c in columns]
             change = np.concatenate([[True], np.zeros(len(order) - 1, dtype=bool)])
@@ -316,8 +317,11 @@ def strongest(counts: DataFrame, top: int = 2000) -> DataFrame:
     product = (_exact("a") * _exact("n")).cast("decimal(34,0)") * F.lit(1000).cast("decimal(4,0)")
     scored = cut.withColumn("_over", product).withColumn("_under", (_exact("l") * _exact("r")).cast("decimal(38,0)")).withColumn("score", F.expr("_over div _under"))
     lowest = scored.groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct("score", "cut", "l", "r")).alias("s"))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = lowest.select("lang", "phrase", "a", "s.l", "s.r", "n", "s.score").withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
+    found = lowest.select("lang", "phrase", "a", "s.l", "s.r", "n", "s.score")
+    # What is among a language's first is among those of its part, so no task ranks more than a few times as many.
+    first = lambda df, part, name: df.withColumn(name, F.row_number().over(Window.partitionBy(*part).orderBy(F.desc("score"), F.desc("a"), "phrase")).cast("long")).where(F.col(name) <= top)
+    parted = first(found.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS))), ["lang", "part"], "within")
+    ranked = first(parted, ["lang"], "rank")
     return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 

@@ -178,14 +178,21 @@ def draw_below(cap: int, n: int) -> int:
     return min((1 << 63) - 1, -(1 << 63) + ((2 * cap + 64) << 64) // max(1, n))
 
 
+#: Label values that a training set may have: each is a row on the driver, and a column of a language model.
+MOST_LABELS = 256
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, cap: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(label, weight, draw, text) of cap ids a label value at most, those of the least hashes: the bound of a training set.
 
     weight tells how many labelled ids a drawn one stands for, scaled to a mean of one over all drawn, so that what is
-    learned follows the whole table's mix of labels at every size. Of several labels for an id the largest counts. The
-    drawn ids, bounded by the cap, are broadcast."""
+    learned follows the whole table's mix of labels at every size. Of several labels for an id the largest counts, of
+    several texts the one of the least hash. The
+    drawn ids, bounded by the cap, are broadcast. More than MOST_LABELS label values are an error: none is left out."""
     known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label).alias("label"))
-    sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}  # a row a label value
+    sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).limit(MOST_LABELS + 1).collect()}
+    if len(sizes) > MOST_LABELS:
+        raise ValueError(f"{label} has more than {MOST_LABELS} values; map rare or malformed ones before learning from them")
     kind = labels.schema[label].dataType
     if not sizes:
         return docs.sparkSession.createDataFrame([], T.StructType().add("label", kind).add("weight", "double").add("draw", "long").add("text", "string"))
@@ -197,14 +204,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, cap: int, id
     # At most about 2 * cap rows a label value are ranked.
     ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("draw", "id"))).where(F.col("rank") <= cap)
     chosen = ranked.select("id", "label", "draw", weight.alias("weight"))
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("label", "weight", "draw", "text")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    # One row an id, however many have it.
+    return rows.groupBy("id", "label", "weight", "draw").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("label", "weight", "draw", "text")
 
 
 def bounded_rows(features: DataFrame, name: str, most_bytes: int) -> list:
     """Rows (label, weight, draw, and binary columns) on the driver: of each label value those of the least draws, within
     an equal share of most_bytes. They are written first, so nothing is computed twice, and only the rows kept are sent.
 
-    Rows left out by the bound pass their weight on to the label's others."""
+    Rows left out by the bound pass their weight on to the label's others. A label whose first row alone passes its share
+    is an error, not left out: operators bound a row's features so that none does."""
     held = written(features, name)
     binary = [f.name for f in held.schema.fields if isinstance(f.dataType, T.BinaryType)]
     # Numbers alone are ranked; the features stay where they are until those kept are sent.
@@ -212,6 +222,9 @@ def bounded_rows(features: DataFrame, name: str, most_bytes: int) -> list:
     total = F.sum("size").over(Window.partitionBy("label").orderBy("draw").rowsBetween(Window.unboundedPreceding, 0))
     labels = max(1, held.select("label").distinct().count())
     cut = sizes.withColumn("total", total).groupBy("label").agg(F.max(F.when(F.col("total") <= most_bytes // labels, F.col("draw"))).alias("last"), F.sum("weight").alias("every"))
+    lost = cut.where("last IS NULL").select("label").take(1)
+    if lost:
+        raise ValueError(f"the first row of label {lost[0]['label']!r} has more than {most_bytes // labels} bytes of features; raise most_bytes")
     rows = held.join(F.broadcast(cut), "label").where("draw <= last").collect()  # cut: a row a label
     rows.sort(key=lambda r: (r["draw"], str(r["label"]), *(r[c] for c in binary)))
     share = {}

@@ -21,7 +21,8 @@ Defined results: null, empty and blank texts have an empty set, are linked with
 component of their own; a text with fewer than k words is one shingle, the whole sequence; repeated rows
 give repeated rows; a row of a null id is linked only to texts of an equal set, whose component it takes, else
 its component is null and it is kept; of a component's rows those of its least id are kept, all of them where
-that id repeats; an empty table gives an empty one; other columns are not touched.
+that id repeats; texts of any length are sketched whole; an empty table gives an empty one; other columns are left out.
+Ids are what tells documents apart: give rows with one id and different texts a number each before (the pipeline does).
 """
 
 from __future__ import annotations

@@ -15,7 +15,9 @@ documents is ranked by many tasks. The plan has a row for each length and combin
 the window alone.
 
 Defined results: null and empty texts are one piece with the end id alone; repeated rows (or ids) are
-packed as rows of their own; an empty table gives an empty one; other columns are not touched.
+packed as rows of their own; a text of any length is tokenised whole and cut into windows; among documents of one length
+the order, and so who is packed with whom, follows the rows' numbers; an empty table gives an empty one; other columns
+are left out.
 """
 
 from __future__ import annotations

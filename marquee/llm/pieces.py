@@ -12,8 +12,8 @@ the space mark itself, or start with a form the units don't cover, take the same
 blank to the model).
 
 Defined results: null and empty texts have the begin and end ids alone and decode to the empty string;
-repeated rows give repeated rows; other columns are neither needed nor touched; an empty table gives an
-empty one.
+repeated rows give repeated rows; of pairs with equal scores the leftmost merges first; texts of any length are encoded
+whole; other columns are left out; an empty table gives an empty one.
 """
 
 from __future__ import annotations

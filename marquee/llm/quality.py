@@ -70,6 +70,8 @@ def sgd(rows: list[tuple[np.ndarray, np.ndarray, int, float]], bits: int, width:
     vectors = draw.uniform(-1 / width, 1 / width, (2 << bits, width)).astype(np.float32)
     layer, bias = np.zeros((width, 2), dtype=np.float32), np.zeros(2, dtype=np.float32)
     steps, done = max(1, epochs * len(rows)), 0
+    # A longer step than that of weight 2 would overshoot: then all steps are shorter, and the mix stays.
+    rate *= min(1.0, 2.0 / max([1e-9, *(weight for *_, weight in rows)]))
     for _ in range(epochs):
         for k in draw.permutation(len(rows)).tolist():
             at, share, y, weight = rows[k]
@@ -79,7 +81,7 @@ def sgd(rows: list[tuple[np.ndarray, np.ndarray, int, float]], bits: int, width:
             g = np.exp(out - out.max())
             g /= g.sum()
             g[y] -= 1
-            g *= np.float32(min(weight, 4.0))  # a longer step would overshoot
+            g *= np.float32(weight)
             back = layer @ g
             layer -= lr * np.outer(mean, g)
             bias -= lr * g

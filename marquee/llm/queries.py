@@ -76,8 +76,8 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     images = media.images_of(table(spark, sf_dir, "embeddings"))
     n = len(media.CHANGES)
-    change = F.element_at(F.array(*[F.lit(c) for c in media.CHANGES]), (F.col("image_id") % n + 1).cast("int"))
-    return media.copies(images, "image_id").select("image_id", F.floor(F.col("image_id") / n).alias("vec_id"), change.alias("change"), "n_corners", "n_links", "group_id")
+    change = F.element_at(F.array(*[F.lit(c) for c in media.CHANGES]), (F.pmod("image_id", F.lit(n)) + 1).cast("int"))
+    return media.copies(images, "image_id").select("image_id", ((F.col("image_id") - F.pmod("image_id", F.lit(n))) / n).cast("long").alias("vec_id"), F.when(F.col("image_id").isNull(), media.CHANGES[0]).otherwise(change).alias("change"), "n_corners", "n_links", "group_id")
 
 
 def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,8 +9,9 @@ kept while it is precise there; what it covers is removed and the next is grown.
 ordered Spark conditional expression.
 
 Defined results: a null, empty or blank text has no words and fails the base rule; repeated rows give
-repeated rows; without labelled rows the list is empty and the base rule decides; an empty table gives an
-empty one; other columns are not touched.
+repeated rows; without labelled rows the list is empty and the base rule decides; of conditions with equal gain the
+first in the order of statistics and thresholds counts; texts of any length are evaluated whole; an empty table gives
+an empty one; columns named stats, base_failed, rule or kept are replaced, and other columns are not touched.
 """
 
 from __future__ import annotations

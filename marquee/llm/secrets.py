@@ -4,7 +4,7 @@ Three fixed forms (assignments, access keys, long hexadecimal runs) give the bas
 others, of kind ``novel``. Its candidates are all runs of 12 or more letters, digits and the signs of
 encoded text that start within ``CONTEXT`` characters after a sensitive word; the context carries on over
 candidates that follow each other with only a line end, blanks or signs between, as the lines of a private
-key do. A zstandard compressor is primed with a dictionary of identifiers, paths and common code; a candidate's
+key do, and over up to ``MISSES`` of them that are not reported. A zstandard compressor is primed with a dictionary of identifiers, paths and common code; a candidate's
 novelty is the number of bytes it adds to its compressed surroundings, over its length. Words, paths and
 repeated identifiers compress, secrets don't: a candidate of at least ``threshold`` is reported. Text of one
 kind of letters for long (words run together, names, numbers) must add ``PLAIN`` bytes a character or more. A
@@ -12,15 +12,15 @@ candidate that a base span covers in part is judged, and reported, whole.
 
 Whole texts are scanned in one map without a shuffle. Defined results: null and empty texts have no span;
 of spans with one start the kinds come in the order listed; repeated rows give repeated rows; an empty
-table gives an empty one; null ids stay null; a column with the name of the result is replaced, and other
-columns are not touched.
+table gives an empty one; null ids stay null; texts of any length are scanned whole, in time that follows their
+length; a column with the name of the result is replaced, and other columns are not touched.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
-from itertools import islice, takewhile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from marquee.llm.common import appended
 
 KINDS = ("assign", "access", "hex", "novel")
-CONTEXT, PLAIN, CHAINED = 48, 1.05, 0.85
+CONTEXT, PLAIN, CHAINED, MISSES = 48, 1.05, 0.85, 3
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -82,44 +82,60 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def bar(candidate: str, threshold: float) -> float:
+def bar(candidate: str, threshold: float, chained: bool = False, covered: bool = False) -> float:
     """The novelty that a candidate must reach: encoded text changes between kinds of characters often, and the
-    symbols of longer ones are coded by their frequency."""
-    n = len(candidate)
+    symbols of longer ones are coded by their frequency. After one of its kind, or one that base spans cover in part,
+    its symbols are known already; a key of few symbols then costs little more than these take by themselves."""
+    n, known = len(candidate), CHAINED if chained or covered else 1.0
     if len(_CHANGES.findall(candidate)) < 0.35 * n:
-        return PLAIN
-    return threshold * (1.0 if n <= 24 else 0.92 if n <= 64 else 0.82)
+        return PLAIN * known
+    asked = threshold * (1.0 if n <= 24 else 0.92 if n <= 64 else 0.82) * known
+    return min(asked, 0.85 * math.log2(len(set(candidate))) / 8) if chained else asked
+
+
+def uncovered(text: str, start: int, end: int, spans: list[tuple[int, int, str]]) -> str:
+    """text between start and end without what spans, in the order of their starts, cover."""
+    out, at = [], start
+    for a, b, _ in spans:
+        if a > at:
+            out.append(text[at : min(a, end)])
+        at = max(at, b)
+    return "".join([*out, text[at:end]])
 
 
 def novel_spans(text: str, base: list[tuple[int, int, str]], novelty: Novelty, threshold: float) -> list[tuple[int, int, str]]:
-    # reach: how far the context of sensitive words goes; near: the end of the last one found; at: the first base span still ahead
-    out, reach, near, at = [], -1, 0, 0
+    # reach: how far the context of sensitive words goes; near: the end of the last one found, or of MISSES not found after it
+    out, reach, near, missed = [], -1, 0, 0
     words = _SENSITIVE.finditer(text)
     word = next(words, None)
     if word is None:
         return []
+    # open: base spans that may reach into what comes; at: the first one ahead. Both only move on, so spans are seen once.
+    at, open_ = 0, []
     for m in _CANDIDATE.finditer(text, max(0, word.start() - 64)):
         start, end = m.span()
         while word is not None and word.end() <= start:
             reach, word = word.end() + CONTEXT, next(words, None)
+        while at < len(base) and base[at][0] < end:
+            open_.append(base[at])
+            at += 1
+        open_ = [span for span in open_ if span[1] > start]
         chained = near and _BETWEEN.fullmatch(text, near, start) is not None
         if start > reach and not chained:
             near = 0
             continue
-        while at < len(base) and base[at][1] <= start:
-            at += 1
-        held = [(a, b) for a, b, _ in takewhile(lambda span: span[0] < end, islice(base, at, None)) if start < b]
-        if any(a <= start and end <= b for a, b in held):
-            near = end
-            continue
+        held = [span for span in open_ if span[0] < end]
         # What a base span covers tells nothing of the rest.
-        rest = "".join(c for i, c in enumerate(m[0], start) if not any(a <= i < b for a, b in held)) if held else m[0]
-        # After one of its kind a candidate's symbols are known already.
-        if novelty(text, start, end) >= bar(rest, threshold) * (CHAINED if chained or held else 1.0):
+        rest = uncovered(text, start, end, held) if held else m[0]
+        if not rest:
+            near, missed = end, 0
+            continue
+        if novelty(text, start, end) >= bar(rest, threshold, bool(chained), bool(held)):
             out.append((start, end, "novel"))
-            near = end
+            near, missed = end, 0
         else:
-            near = 0
+            missed += 1
+            near = end if chained and missed <= MISSES else 0
     return out
 
 

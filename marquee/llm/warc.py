@@ -14,7 +14,8 @@ its members by offset, checks them and gives out the fields.
 
 Defined results: null html is an empty payload; null URLs have an empty key; a null id is written as such
 and sorts first; repeated rows are records of their own, and of repeated ids with equal payloads one is the
-response; empty tables give empty archives; other columns are not touched.
+response; a payload of any length is one record; captures of equal URL keys and times are ordered by id; empty tables give
+empty archives; other columns are left out.
 """
 
 from __future__ import annotations
