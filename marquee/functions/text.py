@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from marquee.tables import ready
+
 # What counts as a promotional suffix, a numbered occurrence, a fixture, a line-up, a status.
 PROMO_SUFFIX = (
     r"\s*\|\s*official\s+\w+\s+ticket\s*\+\s*hotel\s+packages\.?\s*$"
@@ -107,8 +109,7 @@ def ratio_bound(a: Column, b: Column) -> Column:
 
 
 @F.pandas_udf(DoubleType())
-def title_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp similarity of a to b."""
+def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     matcher, out = difflib.SequenceMatcher(), []
     last = None
     for x, y in zip(a, b, strict=True):
@@ -121,12 +122,17 @@ def title_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 #: Kept from being evaluated once more for a filter on its result.
-title_ratio = title_ratio.asNondeterministic()
+_ratio = _ratio.asNondeterministic()
+
+
+def title_ratio(a: Column, b: Column) -> Column:
+    """Ratcliff-Obershelp similarity of a to b."""
+    ready()
+    return _ratio(a, b)
 
 
 @F.pandas_udf(StructType([StructField("ratio", DoubleType()), StructField("back", DoubleType())]))
-def title_ratios(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    """The similarity of a to b and of b to a; 0 where either is null."""
+def _ratios(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     matcher, out = difflib.SequenceMatcher(), []
     for x, y in zip(a, b, strict=True):
         each = [0.0, 0.0]
@@ -138,7 +144,13 @@ def title_ratios(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["ratio", "back"], dtype="float64")
 
 
-title_ratios = title_ratios.asNondeterministic()
+_ratios = _ratios.asNondeterministic()
+
+
+def title_ratios(a: Column, b: Column) -> Column:
+    """The similarity of a to b and of b to a; 0 where either is null."""
+    ready()
+    return _ratios(a, b)
 
 
 def letter_bag(text: str) -> list[int]:

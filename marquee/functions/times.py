@@ -97,4 +97,4 @@ def venue_date(raw: Column) -> Column:
 
 def dates_close(a: Column, b: Column, days: int = 2) -> Column:
     """Whether two dates lie within so many days; false if one is missing."""
-    return F.coalesce(F.abs(F.datediff(a, b)) <= days, F.lit(False))
+    return F.coalesce(F.abs(F.datediff(a.try_cast("date"), b.try_cast("date"))) <= days, F.lit(False))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marquee.functions import text as T
 from marquee.operators.similar import similar_pairs
+from marquee.tables import written
 
 
 def best(scored: DataFrame, key: str, other: str) -> DataFrame:
@@ -21,7 +22,8 @@ def match_existing(new: DataFrame, existing: DataFrame) -> DataFrame:
     the threshold; rows without a day or a city match nothing."""
     a = new.select("seq", "city_slug", "day", T.normalize_title(F.col("title")).alias("x")).where((F.col("x") != "") & (F.col("day") != ""))
     b = existing.select("post_id", "city_slug", "day", T.normalize_title(F.col("title")).alias("y")).where(F.col("y") != "")
-    keys = ["city_slug", "day"]
+    # Each side is read by three joins.
+    a, b, keys = written(a, "match-new"), written(b, "match-known"), ["city_slug", "day"]
     found = similar_pairs(a.select(*keys, F.col("seq").alias("id"), F.col("x").alias("text")), b.select(*keys, F.col("post_id").alias("id"), F.col("y").alias("text")), keys, T.THRESHOLD)
     head = lambda df, c: df.where(F.length(c) >= T.LEAST_PREFIX).withColumn("head", F.substring(c, 1, T.LEAST_PREFIX))
     begun = head(a, "x").join(head(b, "y"), [*keys, "head"]).where(T.is_headliner_prefix(F.col("x"), F.col("y"))).select("seq", "post_id", F.lit(1).alias("prefix"))
@@ -35,17 +37,32 @@ def _plain(c: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(F.coalesce(c, F.lit("")))), r"(?U)[^\w\s]", "")
 
 
+def in_day_slots(weak: DataFrame, listings: DataFrame, window_days: int, a: str, b: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides (venue_name, city_slug, slot, ident, text), so that those of an equal slot are those whose days lie at most
+    window_days apart or of which one has none; any two rows share one slot at most.
+
+    A listing is in its day's slot, a dated event in those of the days around its own. Undated listings have a slot that
+    dated events are in too, and undated events one that all listings are in."""
+    day = F.col("day").try_cast("date")
+    text = lambda d: F.date_format(d, "yyyy-MM-dd")
+    around = F.array(*[text(F.date_add(day, k)) for k in range(-window_days, window_days + 1)], F.lit("undated listing"))
+    slots_a = F.when(day.isNull(), F.array(F.lit("any listing"))).otherwise(around)
+    slots_b = F.array(F.coalesce(text(day), F.lit("undated listing")), F.lit("any listing"))
+    shown = lambda df, ident, slots: df.select("venue_name", "city_slug", F.explode(slots).alias("slot"), ident, _plain(F.col("title")).alias("text"))
+    return shown(weak, a, slots_a), shown(listings, b, slots_b)
+
+
 def match_listings(weak: DataFrame, listings: DataFrame, window_days: int = 2, least: float = 0.6) -> DataFrame:
     """(post_id, listing_id, ratio): the listing of an event's venue page that it most resembles.
 
     weak: post_id, title, day, venue_name, city_slug; listings: listing_id and the rest alike. Days, where both
-    sides have one, lie at most window_days apart."""
-    a = weak.select("post_id", "venue_name", "city_slug", F.col("day").alias("day_a"), _plain(F.col("title")).alias("x"))
-    b = listings.select("listing_id", "venue_name", "city_slug", F.col("day").alias("day_b"), _plain(F.col("title")).alias("y"))
-    keys = ["venue_name", "city_slug"]
-    found = similar_pairs(b.select(*keys, F.col("listing_id").alias("id"), F.col("y").alias("text")), a.select(*keys, F.col("post_id").alias("id"), F.col("x").alias("text")), keys, least)
-    close = F.coalesce(F.abs(F.datediff("day_a", "day_b")) <= window_days, F.lit(True))
-    rows = found.select(F.col("x").alias("listing_id"), F.col("y").alias("post_id")).join(a.select("post_id", "day_a", F.col("x").alias("title_a")), "post_id").join(b.select("listing_id", "day_b", F.col("y").alias("title_b")), "listing_id").where(close)
+    sides have one, lie at most window_days apart: a join on day slots, so only these are compared. A day that is no date
+    counts as none."""
+    a, b = in_day_slots(weak, listings, window_days, "post_id", "listing_id")
+    keys = ["venue_name", "city_slug", "slot"]
+    found = similar_pairs(b.select(*keys, F.col("listing_id").alias("id"), "text"), a.select(*keys, F.col("post_id").alias("id"), "text"), keys, least)
+    title = lambda df, ident, name: df.select(ident, _plain(F.col("title")).alias(name))
+    rows = found.select(F.col("x").alias("listing_id"), F.col("y").alias("post_id")).join(title(weak, "post_id", "title_a"), "post_id").join(title(listings, "listing_id", "title_b"), "listing_id")
     return best(rows.withColumn("ratio", T.title_ratio(F.col("title_b"), F.col("title_a"))).where(F.col("ratio") >= least), "post_id", "listing_id")
 
 

@@ -72,8 +72,9 @@ def to_postmeta(events: DataFrame, columns: dict[str, Column]) -> DataFrame:
 
 
 def calendar_index(events: DataFrame, zone: str = "America/Chicago") -> DataFrame:
-    """Start and end, local and UTC, duration in seconds (two hours if there is none), and a hash."""
-    start, end = F.to_timestamp("start_utc"), F.to_timestamp("end_utc")
+    """Start and end, local and UTC, duration in seconds (two hours if there is none), and a hash. A text that is no time
+    stays as it is and has no local time."""
+    start, end = F.try_to_timestamp("start_utc"), F.try_to_timestamp("end_utc")
     seconds = F.unix_timestamp(end) - F.unix_timestamp(start)
     shown = lambda t: F.date_format(F.from_utc_timestamp(t, zone), "yyyy-MM-dd HH:mm:ss")
     return events.select(

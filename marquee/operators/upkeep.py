@@ -87,7 +87,7 @@ def venues_to_check(events: DataFrame, cache: DataFrame, as_of: str, limit: int
     """The first venues (venue_name, city_slug) of a run to look up: unknown, without a link, or not seen for long."""
     known = cache.select("venue_name", "city_slug", "events_url", "status", "last_checked", F.lit(True).alias("known"))
     each = events.where(~_blank(F.col("venue_name"))).select("venue_name", "city_slug").distinct().join(known, ["venue_name", "city_slug"], "left")
-    old = F.coalesce(F.datediff(F.lit(as_of).cast("timestamp"), F.col("last_checked").cast("timestamp")) > days, F.lit(False))
+    old = F.coalesce(F.datediff(F.lit(as_of).cast("timestamp"), F.col("last_checked").try_cast("timestamp")) > days, F.lit(False))
     due = F.col("known").isNull() | _blank(F.col("events_url")) | old
     return each.where((F.coalesce("status", F.lit("")) != "skip") & due).select("venue_name", "city_slug").orderBy("venue_name", "city_slug").limit(limit)
 

@@ -21,12 +21,12 @@ def as_store(listings: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def upcoming(events: DataFrame, as_of: str, days: int, zone: Column | None = None) -> DataFrame:
     """Events that start within so many days of as_of, a UTC time; in the given zone's time, where clocks may change in
-    between. Texts of this form order as times do."""
+    between. Texts of this form order as times do; what is no time is not upcoming."""
     now = F.lit(as_of).cast("timestamp")
     there = (lambda t: F.from_utc_timestamp(t, zone)) if zone is not None else (lambda t: t)
     start, until = there(now), there(now) + F.expr(f"interval {days} days")
     shown = lambda t: F.date_format(t, "yyyy-MM-dd HH:mm:ss")
-    own = F.col("start_utc") if zone is None else shown(there(F.to_timestamp("start_utc")))
+    own = F.col("start_utc") if zone is None else shown(there(F.try_to_timestamp("start_utc")))
     return events.where((own >= shown(start)) & (own < shown(until)))
 
 
@@ -42,7 +42,7 @@ def weekly_digest(posts: DataFrame, meta: DataFrame, as_of: str, k: int = 8, day
     text = F.coalesce("post_content", F.lit(""))
     short = F.when(F.char_length(text) > 120, F.concat(F.substring(text, 1, 120), F.lit("…"))).otherwise(text)
     url = F.coalesce("ticket_url", F.concat(F.lit("https://example.com/events/"), F.col("post_id").cast("string"), F.lit("/")))
-    local = F.date_format(F.from_utc_timestamp(F.to_timestamp("start_utc"), zone), "yyyy-MM-dd HH:mm:ss")
+    local = F.date_format(F.from_utc_timestamp(F.try_to_timestamp("start_utc"), zone), "yyyy-MM-dd HH:mm:ss")
     return top.select(
         "city_slug", F.col("rank").cast("long").alias("rank"), "post_id", "post_title", "start_utc", local.alias("start_local"), long_date(local).alias("shown"), url.alias("url"),
         call_to_action(F.col("ticket_url")).alias("action"), "thumb_id", F.coalesce("cost", F.lit("")).alias("cost"), short.alias("description"),

@@ -114,7 +114,7 @@ def s8_json_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(f"""WITH {B.LISTINGS} SELECT CAST(post_id AS VARCHAR) AS external_id, trim(post_title) AS title, start_utc AS start_date, CASE WHEN post_id % 2 = 0 THEN 'large' ELSE '' END AS image_url, CASE WHEN post_id % 3 = 0 THEN 'u' ELSE 'e' END AS ticket_url,
-  CASE WHEN post_id % 5 = 1 THEN 'https://aegwebprod.blob.core.windows.net/json/events/' || post_id || '/events.json' END AS feed FROM listings WHERE {_TITLED} AND post_id % 4 <> 0""")
+  CASE WHEN post_id % 5 = 1 THEN 'https://widgets.example.com/json/events/' || post_id || '/events.json' END AS feed FROM listings WHERE {_TITLED} AND post_id % 4 <> 0""")
 def s9_widget_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.lit
     size = lambda name, w, h: F.struct(text(name).alias("file_name"), text(w).alias("width"), text(h).alias("height"))
@@ -122,7 +122,7 @@ def s9_widget_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     ticket = F.struct(F.when(_n() % 3 == 0, "u").otherwise("").alias("url"), text("e").alias("eventUrl"))
     raw = _body(_listings(spark, sf_dir), active=F.when(_n() % 4 == 0, False).when(_n() % 4 == 1, True), eventId=_s(_n()), eventDateTime=F.regexp_replace("iso", "Z$", ""), title=F.struct(F.col("name").alias("eventTitleText")), media=media, ticketing=ticket)
     out = ticketing.normalize_widget(raw.withColumn("body", F.concat(text('{"events": ['), "body", text("]}"))))
-    page = F.when(F.col("external_id").cast("long") % 5 == 1, F.concat(text("<script src='//aegwebprod.blob.core.windows.net/json/events/"), "external_id", text("/events.json'>"))).otherwise("<p>")
+    page = F.when(F.col("external_id").cast("long") % 5 == 1, F.concat(text("<script src='//widgets.example.com/json/events/"), "external_id", text("/events.json'>"))).otherwise("<p>")
     return out.select("external_id", "title", "start_date", "image_url", "ticket_url", ticketing.widget_feed_url(page).alias("feed"))
 
 

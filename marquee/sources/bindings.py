@@ -23,7 +23,7 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def live_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listings that aren't in the trash, with their local start (the table's cities are all of the default zone)."""
-    local = F.date_format(F.from_utc_timestamp(F.to_timestamp("start_utc"), "America/Chicago"), "yyyy-MM-dd HH:mm:ss")
+    local = F.date_format(F.from_utc_timestamp(F.try_to_timestamp("start_utc"), "America/Chicago"), "yyyy-MM-dd HH:mm:ss")
     return listings(spark, sf_dir).where("post_status <> 'trash'").withColumn("start_local", local)
 
 

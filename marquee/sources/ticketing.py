@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +29,8 @@ WIDGET = (
     "events array<struct<active: boolean, eventId: string, eventDateTime: string, bio: string, title: struct<eventTitleText: string>, "
     "media: map<string, struct<file_name: string, width: int, height: int>>, ticketing: struct<url: string, eventUrl: string>>>"
 )
-WIDGET_FEED = "https://aegwebprod.blob.core.windows.net/json/events/%s/events.json"
+#: Where a ticket widget keeps its feeds; a deployment gives its own host and folder.
+WIDGET_HOST, WIDGET_FOLDER = "widgets.example.com", "json/events"
 
 
 def _text(c: str | Column) -> Column:
@@ -129,10 +132,10 @@ def normalize_calendar_pages(raw: DataFrame, as_of: str, horizon_days: int = 35)
     ).where((F.col("title") != "") & ~(F.substring("start_date", 1, 10) > until))
 
 
-def widget_feed_url(page: Column) -> Column:
-    """The feed of the ticket widget in a page; null for none."""
-    found = F.regexp_extract(F.coalesce(page, F.lit("")), r"aegwebprod\.blob\.core\.windows\.net/json/events/(\d+)/events\.json", 1)
-    return F.when(found != "", F.format_string(WIDGET_FEED, found))
+def widget_feed_url(page: Column, feed_host: str = WIDGET_HOST, folder: str = WIDGET_FOLDER) -> Column:
+    """The feed of the ticket widget in a page: the file that it loads from folder at feed_host; null for none."""
+    found = F.regexp_extract(F.coalesce(page, F.lit("")), rf"{re.escape(feed_host)}/{re.escape(folder)}/(\d+)/events\.json", 1)
+    return F.when(found != "", F.concat(F.lit(f"https://{feed_host}/{folder}/"), found, F.lit("/events.json")))
 
 
 def normalize_widget(raw: DataFrame) -> DataFrame:

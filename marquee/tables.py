@@ -13,8 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
-def ready(spark: SparkSession) -> None:
-    """Lets Python workers import this library where the driver found it by its own path."""
+def ready(spark: SparkSession | None = None) -> None:
+    """Lets Python workers import this library where the driver found it by its own path. Without a session, of the active one."""
+    spark = spark or SparkSession.getActiveSession()
+    if spark is None:
+        return
     env = spark.sparkContext.environment
     parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in parts:
