@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from marquee.functions import text as T
 from marquee.functions.urls import affiliate_rank
-from marquee.operators.match import match_existing
+from marquee.operators.match import like_existing, match_existing
+from marquee.tables import written
 
 TIMES = ("start_local", "end_local", "start_utc", "end_utc", "timezone")
 #: Sources whose links are of the two affiliate programmes, in their order.
@@ -66,13 +67,49 @@ def fold_observations(seen: DataFrame) -> DataFrame:
     return plain.join(_link(marked), "post_id", "left").select("post_id", "title", "times.*", "ticket_url", "description", "image_url", "category", "n_observed")
 
 
+def cancels(title: Column) -> Column:
+    """Whether a listing's title cancels its event: it says so in a form that the promotional rule takes off."""
+    return T.is_cancelled(title) & T.has_promo_suffix(title) & ~_blank(title)
+
+
+def deletions(seen: DataFrame, off: DataFrame) -> DataFrame:
+    """(post_id, seq): which posts the cancellations delete, and when. seen: post_id, seq, title, day, city_slug of
+    observations, off: the same of cancellations, whose post_id is that of the event they name.
+
+    A cancellation deletes its own post; if that isn't there at its time, the one that it most resembles of those that are
+    (of equals the least post_id).
+    What is there depends on earlier cancellations alone, so they are decided in rounds: each once no earlier undecided one may
+    touch what it looks at. One title has one post_id, so what resembles what is found once, before."""
+    seen, off = written(seen.select("post_id", "seq", "title", "day", "city_slug"), "seen"), written(off.select("post_id", "seq", "title", "day", "city_slug"), "cancelled")
+    made = off.select("post_id", "seq")
+    titles = seen.join(off.select("city_slug", "day").distinct(), ["city_slug", "day"], "left_semi").groupBy("post_id", "city_slug", "day").agg(F.min_by("title", "seq").alias("title"))
+    names = off.groupBy("post_id", "city_slug", "day").agg(F.min_by("title", "seq").alias("title")).withColumn("seq", F.monotonically_increasing_id())
+    names, ids = written(names, "cancelled-names"), written(titles.withColumn("number", F.monotonically_increasing_id()), "seen-titles")
+    like = like_existing(names.select("seq", "title", "day", "city_slug"), ids.select(F.col("number").alias("post_id"), "title", "day", "city_slug"))
+    like = like.join(names.select("seq", F.col("post_id").alias("own")), "seq").join(ids.select(F.col("number"), F.col("post_id").alias("other")), like["post_id"] == F.col("number")).where("own <> other").select("own", "other", "ratio")
+    # looks: what each undecided cancellation may delete.
+    looks = written(off.select("seq", F.col("post_id").alias("own")).join(like, "own"), "looks")
+    while looks.take(1):
+        touched = looks.groupBy(F.col("other").alias("post_id")).agg(F.min("seq").alias("first"))
+        needs = looks.select("seq", F.col("other").alias("post_id")).union(looks.select("seq", "own")).distinct()
+        ready = needs.join(touched, "post_id", "left").groupBy("seq").agg(F.coalesce(F.min("first"), F.col("seq")).alias("first")).where("first >= seq").select("seq")
+        now = written(needs.join(ready, "seq", "left_semi"), "ready")
+        last = lambda df, name: now.join(df.select("post_id", F.col("seq").alias("at")), "post_id").where("at < seq").groupBy("seq", "post_id").agg(F.max("at").alias(name))
+        there = last(seen, "shown").join(last(made, "gone"), ["seq", "post_id"], "left").where("gone IS NULL OR gone < shown").select("seq", "post_id")
+        there = written(there, "there")
+        open_ = looks.join(ready, "seq", "left_semi").join(there.select("seq", F.col("post_id").alias("own")), ["seq", "own"], "left_anti")
+        hit = open_.join(there.select("seq", F.col("post_id").alias("other")), ["seq", "other"]).groupBy("seq").agg(F.min_by("other", F.struct(-F.col("ratio"), F.col("other"))).alias("post_id"))
+        made = written(made.unionByName(hit.select("post_id", "seq")), "deletions")
+        looks = written(looks.join(ready, "seq", "left_anti"), "looks")
+    return made
+
+
 def drop_cancelled(new: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame]:
     """new (seq, title, start_utc, day, city_slug) without cancelled listings, and the posts (post_id) of existing
     (post_id, title, start_utc, day, city_slug) that these cancel: by fingerprint, else by the best similar title of the day.
 
     Only titles from which the promotional rule takes the cancellation off count."""
-    title = F.trim(F.coalesce("title", F.lit("")))
-    gone = T.is_cancelled(F.col("title")) & T.has_promo_suffix(F.col("title")) & (title != "")
+    gone = cancels(F.col("title"))
     fp = T.fingerprint(F.col("title"), F.col("start_utc"), F.col("city_slug"))
     off = new.where(gone).withColumn("fp", fp)
     known = existing.withColumn("fp", fp)

@@ -15,8 +15,8 @@ def best(scored: DataFrame, key: str, other: str) -> DataFrame:
     return scored.groupBy(key).agg(F.max_by(F.struct(other, "ratio"), F.struct("ratio", -F.col(other))).alias("m")).select(key, f"m.{other}", "m.ratio")
 
 
-def match_existing(new: DataFrame, existing: DataFrame) -> DataFrame:
-    """(seq, post_id, ratio): the post of the same city and local day that a new listing most resembles.
+def like_existing(new: DataFrame, existing: DataFrame) -> DataFrame:
+    """(seq, post_id, ratio): all posts of the same city and local day that new listings resemble.
 
     new: seq, title, day, city_slug; existing: post_id, title, day, city_slug. A headliner prefix counts as
     the threshold; rows without a day or a city match nothing."""
@@ -30,7 +30,12 @@ def match_existing(new: DataFrame, existing: DataFrame) -> DataFrame:
     pairs = found.select(F.col("x").alias("seq"), F.col("y").alias("post_id"), F.lit(0).alias("prefix")).union(begun).groupBy("seq", "post_id").agg(F.max("prefix").alias("prefix"))
     rows = pairs.join(a.select("seq", "x"), "seq").join(b.select("post_id", "y"), "post_id")
     ratio = F.greatest(T.title_ratio(F.col("x"), F.col("y")), F.when(F.col("prefix") == 1, F.lit(T.THRESHOLD)).otherwise(F.lit(0.0)))
-    return best(rows.withColumn("ratio", ratio).where(F.col("ratio") >= T.THRESHOLD), "seq", "post_id")
+    return rows.select("seq", "post_id", ratio.alias("ratio")).where(F.col("ratio") >= T.THRESHOLD)
+
+
+def match_existing(new: DataFrame, existing: DataFrame) -> DataFrame:
+    """(seq, post_id, ratio): the post of the same city and local day that a new listing most resembles."""
+    return best(like_existing(new, existing), "seq", "post_id")
 
 
 def _plain(c: Column) -> Column:
