@@ -5,10 +5,12 @@ from __future__ import annotations
 import datetime
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from marquee.tables import ready
+
 # Names of months and days, and the shapes of dates, times and prices in listings.
 _MONTH = "(?:January|February|March|April|May|June|July|August|September|October|November|December)"
 _MON = "(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
@@ -68,6 +70,47 @@ def year_anchor(text: Column, as_of: str) -> Column:
     return F.when(t.rlike(r"\b\d{4}\b") | (month == ""), F.lit(None).cast("string")).otherwise(F.concat(year.cast("string"), F.lit("-01-01")))
 
 
+# The forms of dates that are read without a parser, and of the times that may follow them.
+_DAY, _YEAR = r"(\d{1,2})(?:st|nd|rd|th)?", r"(\d{4})"
+_NAMED = rf"({_MON})[a-z]*\.?"
+_AT = r"(?:,?\s+(?:at\s+)?(?:(\d{1,2})(?::(\d{2}))?\s*(am|pm)|(\d{1,2}):(\d{2})(?::(\d{2}))?))?"
+_FRONT = rf"^\s*(?:on\s+)?(?:{_DOW}[a-z]*\.?,?\s+)?"
+FORMS = (
+    (rf"{_FRONT}{_NAMED}\s+{_DAY},?\s+{_YEAR}{_AT}\s*$", "mdy"),
+    (rf"{_FRONT}{_DAY}\s+{_NAMED},?\s+{_YEAR}{_AT}\s*$", "dmy"),
+    (rf"{_FRONT}(\d{{1,2}})/(\d{{1,2}})/{_YEAR}{_AT}\s*$", "mdy"),
+    (rf"^\s*{_YEAR}-(\d{{2}})-(\d{{2}})(?:[T ](\d{{2}}):(\d{{2}})(?::(\d{{2}}))?)?\s*$", "ymd"),
+    (rf"{_FRONT}{_NAMED}\s+{_DAY}{_AT}\s*$", "md"),
+)
+#: Months by name where a form names them.
+_MONTHS = _MON[3:-1].split("|")
+
+
+def _by_form(text: Column, anchor: Column) -> Column:
+    """The date and time of a text in one of FORMS, an empty text for a year up to 2020; null where a parser has to look."""
+    t, tries = F.coalesce(text, F.lit("")), []
+    for pattern, order in FORMS:
+        group = lambda n, pattern=pattern: F.regexp_extract(t, "(?i)" + pattern, n)
+        number = lambda n, group=group: group(n).try_cast("int")
+        at = {p: order.index(p) + 1 for p in order}
+        named = F.array_position(F.array(*[F.lit(m) for m in _MONTHS]), F.initcap(group(at["m"]))).cast("int")
+        month = F.when(named > 0, named).otherwise(number(at["m"]))
+        year = number(at["y"]) if "y" in at else F.substring(anchor, 1, 4).try_cast("int")
+        if order == "ymd":
+            hour, minute, second = (F.coalesce(number(k), F.lit(0)) for k in (4, 5, 6))
+        else:
+            n = len(order)
+            noon = F.when(F.lower(group(n + 3)) == "pm", 12).otherwise(0)
+            fine = number(n + 1).between(1, 12)
+            hour = F.when(group(n + 3) != "", F.when(fine, number(n + 1) % 12 + noon)).when(group(n + 4) != "", number(n + 4)).otherwise(0)
+            minute, second = F.coalesce(number(n + 2), number(n + 5), F.lit(0)), F.coalesce(number(n + 6), F.lit(0))
+        # What is no day or hour is left to the parser.
+        whole = F.try_make_timestamp_ntz(year, month, number(at["d"]), hour, minute, second)
+        said = F.when(year > 2020, F.date_format(whole, "yyyy-MM-dd HH:mm:ss")).otherwise(F.when(whole.isNotNull(), F.lit("")))
+        tries.append(F.when(t.rlike("(?i)" + pattern), said))
+    return F.coalesce(F.when(t == "", F.lit("")), *tries)
+
+
 @F.pandas_udf(StringType())
 def _read(text: pd.Series, anchor: pd.Series) -> pd.Series:
     from dateutil import parser
@@ -92,5 +135,19 @@ def _read(text: pd.Series, anchor: pd.Series) -> pd.Series:
 def parse_loose_date(text: Column, anchor: Column | None = None) -> Column:
     """The date and time of a text, what it doesn't say being filled from anchor (an ISO date).
 
-    Without an anchor a text must carry its own year; years up to 2020 and texts without a date give an empty text."""
+    Without an anchor a text must carry its own year; years up to 2020 and texts without a date give an empty text. This
+    reads every row in Python; ``loose_dates`` only what no form fits."""
+    ready()
     return _read(text, F.lit(None).cast("string") if anchor is None else anchor)
+
+
+def loose_dates(df: DataFrame, text: str, anchor: str | None = None, name: str = "found") -> DataFrame:
+    """df with name, the reading of column text as by parse_loose_date: by forms in order, and of what fits none each
+    distinct text (and anchor) once by the parser. df needs no column named _text, _anchor or _residue."""
+    base = F.lit(None).cast("string") if anchor is None else F.col(anchor)
+    rows = df.withColumn(name, _by_form(F.col(text), base))
+    rest = df.select(F.col(text).alias("_text"), base.alias("_anchor")).where(_by_form(F.col("_text"), F.col("_anchor")).isNull()).distinct()
+    read = rest.withColumn("_residue", parse_loose_date(F.col("_text"), F.col("_anchor")))
+    keyed = rows.withColumn("_anchor_key", base)
+    same = F.col(name).isNull() & (F.col(text) == F.col("_text")) & F.col("_anchor_key").eqNullSafe(F.col("_anchor"))
+    return keyed.join(read, same, "left").withColumn(name, F.coalesce(name, "_residue")).select(rows.columns)

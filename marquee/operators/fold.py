@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marquee.functions import text as T
 from marquee.functions.urls import affiliate_rank
 from marquee.operators.match import like_existing, match_existing
+from marquee.operators.scans import ROWS_A_PART, running
 from marquee.tables import written
 
 TIMES = ("start_local", "end_local", "start_utc", "end_utc", "timezone")
@@ -19,52 +20,62 @@ def _blank(c: Column) -> Column:
     return F.trim(F.coalesce(c, F.lit(""))) == ""
 
 
-def _taken(seen: DataFrame) -> DataFrame:
+def _taken(seen: DataFrame, rows_a_part: int) -> DataFrame:
     """seen with taken: whether an observation's times replace those before it. They don't only if both have a start and
     its own is later than the one that stands.
 
     What stands before a row is the least start since the last row that had none."""
-    order = Window.partitionBy("post_id").orderBy("seq")
     empty = _blank(F.col("start_utc"))
-    runs = seen.withColumn("run", F.sum(empty.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    before = F.min(F.when(~empty, F.col("start_utc"))).over(Window.partitionBy("post_id", "run").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
-    return runs.withColumn("taken", empty | before.isNull() | (F.col("start_utc") <= before)).drop("run")
+    runs = running(seen, ["post_id"], "seq", {"run": (empty.cast("int"), "sum", True)}, rows_a_part)
+    stands = running(runs, ["post_id", "run"], "seq", {"before": (F.when(~empty, F.col("start_utc")), "min", False)}, rows_a_part)
+    return stands.withColumn("taken", empty | F.col("before").isNull() | (F.col("start_utc") <= F.col("before"))).drop("run", "before")
 
 
-def _link(seen: DataFrame) -> DataFrame:
+def _link(seen: DataFrame, rows_a_part: int) -> DataFrame:
     """(post_id, ticket_url): links of observations whose times were taken, by the rule of programmes: a post's first link
     stands as it is; a programme's link replaces one of its rank or lower, any other link only one of no programme.
 
-    Runs of one link and source are one step, so what is gathered for a post are its changes of link."""
+    An observation of the first programme replaces any link, so only what follows the last of these counts (or the first
+    row). From there: a link of the first programme, once it stands, stays; one of the second programme's source replaces all
+    others; any other source's only links of no programme, until one of theirs is of a programme. So a few rows decide, and
+    aggregates find them: no post's observations are gathered."""
     url, source = F.trim(F.coalesce("ticket_url", F.lit(""))), F.lower(F.trim(F.coalesce("source_name", F.lit(""))))
-    order = Window.partitionBy("post_id").orderBy("seq")
-    rows = seen.select("post_id", "seq", "taken", url.alias("url"), source.alias("source"), (F.row_number().over(order) == 1).alias("first")).where("first OR (taken AND url <> '')")
-    rows = rows.withColumn("again", (F.lag("url").over(order) == F.col("url")) & (F.lag("source").over(order) == F.col("source"))).where("first OR NOT coalesce(again, false)")
-    rank = F.array_position(F.array(*[F.lit(a) for a in AFFILIATES]), F.col("source"))
-    step = F.struct("seq", "first", "url", F.when(rank > 0, (rank - 1).cast("int")).alias("own"), F.coalesce(affiliate_rank(F.col("url")), F.lit(9)).alias("mark"))
-    steps = rows.select("post_id", step.alias("step")).groupBy("post_id").agg(F.array_sort(F.collect_list("step")).alias("steps"))
-
-    def follow(state: Column, s: Column) -> Column:
-        fits = F.when(s["first"], F.lit(True)).when(s["own"].isNotNull(), s["own"] <= state["mark"]).otherwise(state["mark"] == 9)
-        return F.when(fits, F.struct(s["url"].alias("url"), s["mark"].alias("mark"))).otherwise(state)
-
-    start = F.struct(F.lit("").alias("url"), F.lit(9).alias("mark"))
-    return steps.select("post_id", F.aggregate("steps", start, follow)["url"].alias("ticket_url"))
+    rank = F.array_position(F.array(*[F.lit(a) for a in AFFILIATES]), source)
+    rows = seen.select("post_id", "seq", "taken", url.alias("url"), F.when(rank > 0, (rank - 1).cast("int")).alias("own"), F.coalesce(affiliate_rank(url), F.lit(9)).alias("mark"))
+    counts = F.col("taken") & (F.col("url") != "")
+    of = lambda own: F.max(F.when(counts & (F.col("own") == own), F.col("seq")))
+    facts = rows.groupBy("post_id").agg(F.min("seq").alias("first"), of(0).alias("any"), of(1).alias("second")).withColumn("start", F.coalesce("any", "first"))
+    facts = facts.select("post_id", "start", F.greatest("start", "second").alias("z"))  # greatest: nulls don't count
+    live = rows.join(facts, "post_id").where((F.col("seq") >= F.col("start")) & (counts | (F.col("seq") == F.col("start"))))
+    sets = (F.col("seq") == F.col("start")) | F.coalesce(F.col("own") == 1, F.lit(False))
+    live = live.withColumn("sets", sets)
+    # Where another source's link of the first programme came to stand: on one of no programme, just set.
+    marked = running(live.where(F.col("sets") | (F.col("mark") < 9)), ["post_id"], "seq", {"prior": (F.struct("sets", "mark"), "last", False)}, rows_a_part)
+    stays = (F.col("mark") == 0) & (F.col("sets") | (F.col("prior.sets") & (F.col("prior.mark") == 9)))
+    for_good = marked.where(stays).groupBy("post_id").agg(F.min_by("url", "seq").alias("good"), F.lit(True).alias("is_good"))
+    after = ~F.col("sets") & (F.col("seq") > F.col("z"))
+    last = live.groupBy("post_id").agg(
+        F.max_by(F.struct("url", "mark"), F.when(F.col("sets"), F.col("seq"))).alias("set"),
+        F.min_by("url", F.when(after & (F.col("mark") < 9), F.col("seq"))).alias("next"), F.max_by("url", F.when(after, F.col("seq"))).alias("last"),
+    )
+    plain = F.when(F.col("set.mark") == 9, F.coalesce("next", "last", "set.url")).otherwise(F.col("set.url"))
+    return last.join(for_good, "post_id", "left").select("post_id", F.when(F.col("is_good"), F.col("good")).otherwise(plain).alias("ticket_url"))
 
 
-def fold_observations(seen: DataFrame) -> DataFrame:
+def fold_observations(seen: DataFrame, rows_a_part: int = ROWS_A_PART) -> DataFrame:
     """A post an id, as its observations in the order of seq leave it. seen: post_id, seq, title, the times, ticket_url,
     source_name, description, image_url, category; a stored post counts as the observation of the least seq.
 
     The earliest start stands, with its times, and the link only moves with them; text and image are filled once, the
-    first observation's title stays, the category is the last one's."""
-    marked = _taken(seen)
+    first observation's title stays, the category is the last one's. A post of more than rows_a_part observations is
+    scanned in parts."""
+    marked = written(_taken(seen, rows_a_part), "observations")
     order = F.col("seq")
     once = lambda c: F.min_by(F.trim(c), F.when(~_blank(F.col(c)), order)).alias(c)
     plain = marked.groupBy("post_id").agg(
         F.min_by("title", order).alias("title"), F.max_by(F.struct(*TIMES), F.when(F.col("taken"), order)).alias("times"), once("description"), once("image_url"), F.max_by("category", order).alias("category"), F.count("*").alias("n_observed")
     )
-    return plain.join(_link(marked), "post_id", "left").select("post_id", "title", "times.*", "ticket_url", "description", "image_url", "category", "n_observed")
+    return plain.join(_link(marked, rows_a_part), "post_id", "left").select("post_id", "title", "times.*", "ticket_url", "description", "image_url", "category", "n_observed")
 
 
 def cancels(title: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from marquee.functions import text as T
 from marquee.functions.urls import unwrap_redirect
+from marquee.operators.scans import ROWS_A_PART, running
 from marquee.operators.store import cascade_delete, upsert
 
 
@@ -117,10 +118,9 @@ def union_feeds(*feeds: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), feeds)
 
 
-def section_anchor(rows: DataFrame, page: str = "page_id", position: str = "pos", heading: str = "heading") -> DataFrame:
-    """rows with anchor: the last heading of the page at or before each row."""
-    before = Window.partitionBy(page).orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("anchor", F.last(heading, ignorenulls=True).over(before))
+def section_anchor(rows: DataFrame, page: str = "page_id", position: str = "pos", heading: str = "heading", rows_a_part: int = ROWS_A_PART) -> DataFrame:
+    """rows with anchor: the last heading of the page at or before each row. A page of very many rows is scanned in parts."""
+    return running(rows, [page], position, {"anchor": (F.col(heading), "last", True)}, rows_a_part)
 
 
 def resolve_observed_times(seen: DataFrame, columns: list[str]) -> DataFrame:

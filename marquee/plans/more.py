@@ -220,7 +220,8 @@ def f13_loose_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.when(_n() % 5 == 0, F.concat(F.lit("on "), F.date_format(t, "MMMM d yyyy"), F.lit(" 7:30 PM"))).when(_n() % 5 == 1, F.date_format(t, "M/d/yyyy")).when(_n() % 5 == 2, F.concat(F.date_format(t, "MMM d"), F.lit(" 8 pm")))
     said = said.when(_n() % 5 == 3, F.date_format(t, "d MMM yyyy")).otherwise(F.lit("doors at seven"))
     anchor = dates.year_anchor(F.when(_n() % 5 == 2, said), "2026-05-01")
-    return B.listings(spark, sf_dir).select("post_id", dates.parse_loose_date(said, anchor).alias("found"))
+    rows = B.listings(spark, sf_dir).select("post_id", said.alias("said"), anchor.alias("anchor"))
+    return dates.loose_dates(rows, "said", "anchor").select("post_id", "found")
 
 
 @register(f"""WITH {B.LISTINGS}, d AS (SELECT post_id, {_UTC} AS t FROM listings) SELECT post_id, CASE post_id % 4 WHEN 0 THEN strftime(t, '%B %-d, %Y') WHEN 1 THEN strftime(t, '%B %-d, %Y') WHEN 2 THEN strftime(t, 'Thu, %b %-d') || ' 7 pm' ELSE '' END AS said,

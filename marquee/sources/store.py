@@ -12,20 +12,21 @@ TABLES = {"posts": "ID", "postmeta": "meta_id", "terms": "term_id", "term_taxono
 def read_store(spark: SparkSession, path: str | None = None, jdbc: dict | None = None, prefix: str = "", parts: int = 64) -> dict[str, DataFrame]:
     """The content tables by name, from Parquet folders under path, or from a database (jdbc: url and connection properties).
 
-    From a database, each table is read in ranges of its key, whose bounds are asked for first."""
+    From a database, each table is read in ranges of its key, whose bounds are asked for first; filters and the columns that
+    are needed go along with each range's query."""
     if path:
         return {name: spark.read.parquet(f"{path}/{name}.parquet") for name in TABLES}
     options = {k: str(v) for k, v in (jdbc or {}).items()}
+    mark = "`" if options.get("url", "").startswith(("jdbc:mysql:", "jdbc:mariadb:")) else '"'
+    named = lambda name: f"{mark}{name}{mark}"
     out = {}
     for name, key in TABLES.items():
-        reader = spark.read.format("jdbc").options(**options)
-        if key:
-            low, high = reader.option("query", f"SELECT min({key}), max({key}) FROM {prefix}{name}").load().first()
-            if low is not None:
-                reader = spark.read.format("jdbc").options(**options).options(partitionColumn=key, lowerBound=str(low), upperBound=str(high), numPartitions=str(parts))
-            else:
-                reader = spark.read.format("jdbc").options(**options)
-        out[name] = reader.option("dbtable", f"{prefix}{name}").load()
+        table, reader = named(prefix + name), spark.read.format("jdbc").options(**options)
+        low, high = reader.option("query", f"SELECT min({named(key)}) AS low, max({named(key)}) AS high FROM {table}").load().first() if key else (None, None)
+        reader = spark.read.format("jdbc").options(**options).option("dbtable", table)
+        if low is not None:
+            reader = reader.options(partitionColumn=named(key), lowerBound=str(low), upperBound=str(high), numPartitions=str(parts))
+        out[name] = reader.load()
     return out
 
 

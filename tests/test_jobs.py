@@ -49,8 +49,9 @@ def test_fold_equals_a_plain_fold(spark, seed):
     by_post = {}
     for r in df.collect():
         by_post.setdefault(r["post_id"], []).append(r)
-    got = {r["post_id"]: r for r in fold.fold_observations(df).collect()}
-    assert set(got) == set(by_post)
+    # Whole, and scanned in parts of three rows or so.
+    got, split = ({r["post_id"]: r for r in fold.fold_observations(df, *size).collect()} for size in ((), (3,)))
+    assert got == split and set(got) == set(by_post)
     for i, seen in by_post.items():
         want, r = _fold(seen), got[i]
         assert (r["start_utc"] or "", r["ticket_url"] or "", r["description"] or "", r["image_url"] or "", r["category"], r["title"]) == (want["start_utc"] or "", want["url"], want["description"], want["image"], want["category"], want["title"])
