@@ -75,40 +75,37 @@ _DAY, _YEAR = r"(\d{1,2})(?:st|nd|rd|th)?", r"(\d{4})"
 _NAMED = rf"({_MON})[a-z]*\.?"
 _AT = r"(?:,?\s+(?:at\s+)?(?:(\d{1,2})(?::(\d{2}))?\s*(am|pm)|(\d{1,2}):(\d{2})(?::(\d{2}))?))?"
 _FRONT = rf"^\s*(?:on\s+)?(?:{_DOW}[a-z]*\.?,?\s+)?"
+# Each with its parts in the order year, month, day, hour, minute, half of the day, and hour, minute, second of a whole day.
 FORMS = (
-    (rf"{_FRONT}{_NAMED}\s+{_DAY},?\s+{_YEAR}{_AT}\s*$", "mdy"),
-    (rf"{_FRONT}{_DAY}\s+{_NAMED},?\s+{_YEAR}{_AT}\s*$", "dmy"),
-    (rf"{_FRONT}(\d{{1,2}})/(\d{{1,2}})/{_YEAR}{_AT}\s*$", "mdy"),
-    (rf"^\s*{_YEAR}-(\d{{2}})-(\d{{2}})(?:[T ](\d{{2}}):(\d{{2}})(?::(\d{{2}}))?)?\s*$", "ymd"),
-    (rf"{_FRONT}{_NAMED}\s+{_DAY}{_AT}\s*$", "md"),
+    (rf"{_FRONT}{_NAMED}\s+{_DAY},?\s+{_YEAR}{_AT}\s*$", "$3|$1|$2|$4|$5|$6|$7|$8|$9"),
+    (rf"{_FRONT}{_DAY}\s+{_NAMED},?\s+{_YEAR}{_AT}\s*$", "$3|$2|$1|$4|$5|$6|$7|$8|$9"),
+    (rf"{_FRONT}(\d{{1,2}})/(\d{{1,2}})/{_YEAR}{_AT}\s*$", "$3|$1|$2|$4|$5|$6|$7|$8|$9"),
+    (rf"^\s*{_YEAR}-(\d{{2}})-(\d{{2}})(?:[T ](\d{{2}}):(\d{{2}})(?::(\d{{2}}))?)?\s*$", "$1|$2|$3||||$4|$5|$6"),
+    (rf"{_FRONT}{_NAMED}\s+{_DAY}{_AT}\s*$", "|$1|$2|$3|$4|$5|$6|$7|$8"),
 )
 #: Months by name where a form names them.
 _MONTHS = _MON[3:-1].split("|")
 
 
 def _by_form(text: Column, anchor: Column) -> Column:
-    """The date and time of a text in one of FORMS, an empty text for a year up to 2020; null where a parser has to look."""
-    t, tries = F.coalesce(text, F.lit("")), []
+    """The date and time of a text in the first of FORMS that fits, an empty text for a year up to 2020; null where a parser has to look."""
+    t = F.coalesce(text, F.lit(""))
+    parts = F.when(F.lit(False), F.lit(None).cast("string"))
     for pattern, order in FORMS:
-        group = lambda n, pattern=pattern: F.regexp_extract(t, "(?i)" + pattern, n)
-        number = lambda n, group=group: group(n).try_cast("int")
-        at = {p: order.index(p) + 1 for p in order}
-        named = F.array_position(F.array(*[F.lit(m) for m in _MONTHS]), F.initcap(group(at["m"]))).cast("int")
-        month = F.when(named > 0, named).otherwise(number(at["m"]))
-        year = number(at["y"]) if "y" in at else F.substring(anchor, 1, 4).try_cast("int")
-        if order == "ymd":
-            hour, minute, second = (F.coalesce(number(k), F.lit(0)) for k in (4, 5, 6))
-        else:
-            n = len(order)
-            noon = F.when(F.lower(group(n + 3)) == "pm", 12).otherwise(0)
-            fine = number(n + 1).between(1, 12)
-            hour = F.when(group(n + 3) != "", F.when(fine, number(n + 1) % 12 + noon)).when(group(n + 4) != "", number(n + 4)).otherwise(0)
-            minute, second = F.coalesce(number(n + 2), number(n + 5), F.lit(0)), F.coalesce(number(n + 6), F.lit(0))
+        parts = parts.when(t.rlike("(?i)" + pattern), F.regexp_replace(t, "(?i)" + pattern, order))
+
+    def whole(p: Column) -> Column:
+        number = lambda n: p[n].try_cast("int")
+        named = F.array_position(F.array(*[F.lit(m) for m in _MONTHS]), F.initcap(p[1])).cast("int")
+        noon = F.when(F.lower(p[5]) == "pm", 12).otherwise(0)
+        hour = F.when(p[5] != "", F.when(number(3).between(1, 12), number(3) % 12 + noon)).otherwise(F.coalesce(number(6), F.lit(0)))
+        year = F.when(p[0] == "", F.substring(anchor, 1, 4).try_cast("int")).otherwise(number(0))
         # What is no day or hour is left to the parser.
-        whole = F.try_make_timestamp_ntz(year, month, number(at["d"]), hour, minute, second)
-        said = F.when(year > 2020, F.date_format(whole, "yyyy-MM-dd HH:mm:ss")).otherwise(F.when(whole.isNotNull(), F.lit("")))
-        tries.append(F.when(t.rlike("(?i)" + pattern), said))
-    return F.coalesce(F.when(t == "", F.lit("")), *tries)
+        at = F.try_make_timestamp_ntz(year, F.when(named > 0, named).otherwise(number(1)), number(2), hour, F.coalesce(number(4), number(7), F.lit(0)), F.coalesce(number(8), F.lit(0)))
+        return F.when(year > 2020, F.date_format(at, "yyyy-MM-dd HH:mm:ss")).when(at.isNotNull(), F.lit(""))
+
+    found = F.get(F.transform(F.array(F.split(parts, r"\|", -1)), whole), F.lit(0))  # the parts are found once
+    return F.when(t == "", F.lit("")).otherwise(found)
 
 
 @F.pandas_udf(StringType())
