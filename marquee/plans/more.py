@@ -13,6 +13,8 @@ from marquee.operators import fold, match, reports, upkeep
 from marquee.plans.registry import _FP, _TITLES, register
 from marquee.sources import bindings as B
 from marquee.sources import feeds, store, ticketing
+from marquee.streaming import ingest
+from marquee.tables import new_path, written
 
 
 
@@ -354,12 +356,16 @@ def m1_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, n = B.read(spark, sf_dir, "events").where("user_id IS NOT NULL"), F.col("event_id")
+    return fold.fold_observations(_observations(B.read(spark, sf_dir, "events").where("user_id IS NOT NULL")))
+
+
+def _observations(e: DataFrame, every: int = 3) -> DataFrame:
+    """Events as observations; one in so many has a text."""
+    n = F.col("event_id")
     start = F.when(F.col("event_type") == "error", "").otherwise(F.lpad(F.floor(F.col("value") * 100).cast("string"), 9, "0"))
     link = F.when(n % 4 == 0, F.concat(F.lit("https://t.example.com/?aaid="), _s(n))).when(n % 4 == 1, F.concat(F.lit("https://eventim.us/"), _s(n))).when(n % 4 == 2, F.concat(F.lit("https://v.example.com/"), _s(n)))
     source = F.when(n % 4 == 0, "Ticketmaster").when(n % 4 == 1, "Eventim").otherwise("venue")
-    seen = e.select(F.col("user_id").alias("post_id"), n.alias("seq"), F.col("event_type").alias("title"), start.alias("start_utc"), *(start.alias(c) for c in ("start_local", "end_local", "end_utc")), F.lit("UTC").alias("timezone"), link.alias("ticket_url"), source.alias("source_name"), F.when(n % 3 == 0, F.concat(F.lit("text "), _s(n))).otherwise("").alias("description"), F.lit("").alias("image_url"), _s(n).alias("category"))
-    return fold.fold_observations(seen)
+    return e.select(F.col("user_id").alias("post_id"), n.alias("seq"), F.col("event_type").alias("title"), start.alias("start_utc"), *(start.alias(c) for c in ("start_local", "end_local", "end_utc")), F.lit("UTC").alias("timezone"), link.alias("ticket_url"), source.alias("source_name"), F.when(n % every == 0, F.concat(F.lit("text "), _s(n))).otherwise("").alias("description"), F.lit("").alias("image_url"), _s(n).alias("category"))
 
 
 @register()
@@ -381,3 +387,66 @@ def m6_cancelled_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     exact = new.where(T.is_cancelled(F.col("title"))).select(fp.alias("fp")).distinct()
     first = old.groupBy(fp.alias("fp")).agg(F.min("post_id").alias("post_id")).join(exact, "fp", "left_semi")
     return gone.join(first.select("post_id"), "post_id", "left_semi")
+
+
+# --- the streaming store, and reports by rows -----------------------------------------------------
+
+
+@register(f"""WITH {B.LISTINGS}, {_TITLES}, o AS (SELECT post_id, 2 * post_id AS seq, post_title, start_utc, {_FP} AS fp FROM titles WHERE {_TITLED}),
+  k AS (SELECT fp, max(seq) + 1 AS last FROM o WHERE post_id % 7 = 3 AND NOT regexp_matches(post_title, '[()|*&@]') GROUP BY 1)
+  SELECT fp, arg_min(post_title, seq) AS title, min(start_utc) AS start_utc, 'text ' || min(post_id) FILTER (WHERE post_id % 3 = 0) AS description, 'c' || max(post_id) AS category, count(*) AS n_observed
+  FROM o LEFT JOIN k USING (fp) WHERE last IS NULL OR seq > last GROUP BY fp""")
+def r1_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings land in three parts, some cancelled right after they were listed; each part is taken in by the stream, and a snapshot
+    follows the first two. What the store then shows are one post a fingerprint (R1 to R3)."""
+    rows = B.listings(spark, sf_dir).select(
+        _n(), (_n() * 2).alias("seq"), F.col("post_title").alias("title"), F.when(_n() % 3 == 0, F.concat(F.lit("text "), _s(_n()))).otherwise("").alias("description"), "start_utc", "city_slug",
+        F.lit(None).cast("string").alias("image_url"), F.lit(None).cast("string").alias("ticket_url"), "source_name", F.concat(F.lit("c"), _s(_n())).alias("category"),
+    )
+    off = rows.where((_n() % 7 == 3) & (F.trim("title") != "") & ~F.col("title").rlike("[()|*&@]")).withColumns({"seq": F.col("seq") + 1, "title": F.concat("title", F.lit(" **Cancelled**"))})
+    landed, folder = rows.unionByName(off), new_path(spark, "ingest")
+    low, high = rows.agg(F.min("post_id"), F.max("post_id")).first()
+    if low is None:
+        return ingest.read_posts(spark, f"{folder}/store").select("fp", "title", "start_utc", "description", "category", "n_observed")
+    for k in range(3):
+        part = F.floor((_n() - low) * 3 / (high - low + 1)) == k
+        landed.where(part).drop("post_id").write.mode("append").json(f"{folder}/in")
+        ingest.ingest_stream(spark, f"{folder}/in", f"{folder}/store", f"{folder}/check").awaitTermination()
+        if k < 2:
+            ingest.compact(spark, f"{folder}/store")
+    return ingest.read_posts(spark, f"{folder}/store").select("fp", "title", "start_utc", "description", "category", "n_observed")
+
+
+@register("""WITH o AS (SELECT user_id AS post_id, event_id AS seq, CASE WHEN event_id % 150 = 0 THEN 'text ' || event_id ELSE '' END AS d FROM events WHERE user_id IS NOT NULL),
+  p AS (SELECT post_id, arg_min(d, seq) FILTER (WHERE d <> '') AS d FROM o GROUP BY 1)
+  SELECT post_id, d IS NULL AS queued, coalesce(d, CASE WHEN post_id % 2 = 0 THEN 'written ' || post_id END) AS description FROM p""")
+def r4_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts folded from observations that seldom have a text; what is written for half of those that wait for one is applied."""
+    seen = B.read(spark, sf_dir, "events").where("user_id IS NOT NULL")
+    posts = written(_observations(seen, 150).transform(fold.fold_observations).withColumn("fp", _s(_n())), "posts")
+    waiting = ingest.enrichment_queue(posts)
+    results = waiting.where(_n() % 2 == 0).select("fp", F.concat(F.lit("written "), _s(_n())).alias("text"))
+    queued = waiting.select("fp", F.lit(True).alias("queued"))
+    return ingest.apply_enrichment(posts, results).join(queued, "fp", "left").select("post_id", F.coalesce("queued", F.lit(False)).alias("queued"), "description")
+
+
+@register(f"""WITH {B.POSTS} SELECT post_id, CASE post_id % 3 WHEN 0 THEN 'comedy' WHEN 1 THEN 'festivals' ELSE 'comedy,festivals' END AS current, 'comedy' AS new, post_id % 3 <> 0 AS changed FROM posts""")
+def a17_recategorized_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    posts = B.posts(spark, sf_dir)
+    raw = posts.select("post_id", F.lit('["Comedy"]').alias("raw_categories"))
+    current = posts.select("post_id", F.when(_n() % 3 == 0, F.array(F.lit("comedy"))).when(_n() % 3 == 1, F.array(F.lit("festivals"))).otherwise(F.array(F.lit("comedy"), F.lit("festivals"))).alias("slugs"))
+    return reports.recategorize(posts, raw, current).select("post_id", F.array_join("current", ",").alias("current"), F.array_join("new", ",").alias("new"), "changed")
+
+
+@register(f"""WITH {B.LISTINGS}, {_TITLES}, f AS (SELECT post_id, {_FP} AS new_fp FROM titles WHERE city_slug IS NOT NULL)
+  SELECT post_id, new_fp, post_id % 3 <> 0 AS changed, min(post_id) OVER (PARTITION BY new_fp) AS keeper, post_id <> min(post_id) OVER (PARTITION BY new_fp) AS is_delete FROM f""")
+def a18_fingerprint_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = T.fingerprint(F.col("post_title"), F.col("start_utc"), F.col("city_slug"))
+    rows = B.listings(spark, sf_dir).select("post_id", "post_title", "start_utc", F.lit(None).cast("string").alias("start_local"), "city_slug", F.when(_n() % 3 == 0, own).when(_n() % 3 == 1, "old").alias("old_fp"))
+    return reports.recompute_fingerprints(rows).drop("old_fp")
+
+
+@register(f"WITH {B.POSTS} SELECT post_id, replace(translate(coalesce(post_title, ''), '‘’“”–— ', '''''\"\"-- '), '…', '...') AS title FROM posts")
+def f3_clean_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All titles as they are, those that hold typed signs too."""
+    return B.posts(spark, sf_dir).select("post_id", T.clean_unicode(F.col("post_title")).alias("title"))
