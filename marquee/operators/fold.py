@@ -83,6 +83,15 @@ def cancels(title: Column) -> Column:
     return T.is_cancelled(title) & T.has_promo_suffix(title) & ~_blank(title)
 
 
+def _there(needs: DataFrame, seen: DataFrame, made: DataFrame) -> DataFrame:
+    """Those of needs (post_id, seq) whose post is there at that time: what last happened to it before is no deletion."""
+    asked = needs.select("post_id").distinct()
+    at = lambda df, kind, late: df.select("post_id", (F.col("seq") * 2 + late).alias("at"), "seq", F.lit(kind).alias("kind"))
+    events = at(seen.join(asked, "post_id", "left_semi"), "shown", 0).union(at(made.join(asked, "post_id", "left_semi"), "gone", 1)).union(at(needs, "asked", 0))
+    told = running(events, ["post_id"], "at", {"prior": (F.when(F.col("kind") != "asked", F.col("kind")), "last", False)})
+    return told.where("kind = 'asked' AND prior = 'shown'").select("seq", "post_id")
+
+
 def deletions(seen: DataFrame, off: DataFrame) -> DataFrame:
     """(post_id, seq): which posts the cancellations delete, and when. seen: post_id, seq, title, day, city_slug of
     observations, off: the same of cancellations, whose post_id is that of the event they name.
@@ -93,6 +102,9 @@ def deletions(seen: DataFrame, off: DataFrame) -> DataFrame:
     touch what it looks at. One title has one post_id, so what resembles what is found once, before."""
     seen, off = written(seen.select("post_id", "seq", "title", "day", "city_slug"), "seen"), written(off.select("post_id", "seq", "title", "day", "city_slug"), "cancelled")
     made = off.select("post_id", "seq")
+    # If each finds its own post, titles need not be compared.
+    if not made.join(_there(made, seen, made), ["seq", "post_id"], "left_anti").take(1):
+        return made
     titles = seen.join(off.select("city_slug", "day").distinct(), ["city_slug", "day"], "left_semi").groupBy("post_id", "city_slug", "day").agg(F.min_by("title", "seq").alias("title"))
     names = off.groupBy("post_id", "city_slug", "day").agg(F.min_by("title", "seq").alias("title")).withColumn("seq", F.monotonically_increasing_id())
     names, ids = written(names, "cancelled-names"), written(titles.withColumn("number", F.monotonically_increasing_id()), "seen-titles")
@@ -105,9 +117,7 @@ def deletions(seen: DataFrame, off: DataFrame) -> DataFrame:
         needs = looks.select("seq", F.col("other").alias("post_id")).union(looks.select("seq", "own")).distinct()
         ready = needs.join(touched, "post_id", "left").groupBy("seq").agg(F.coalesce(F.min("first"), F.col("seq")).alias("first")).where("first >= seq").select("seq")
         now = written(needs.join(ready, "seq", "left_semi"), "ready")
-        last = lambda df, name: now.join(df.select("post_id", F.col("seq").alias("at")), "post_id").where("at < seq").groupBy("seq", "post_id").agg(F.max("at").alias(name))
-        there = last(seen, "shown").join(last(made, "gone"), ["seq", "post_id"], "left").where("gone IS NULL OR gone < shown").select("seq", "post_id")
-        there = written(there, "there")
+        there = written(_there(now.select("post_id", "seq"), seen, made), "there")
         open_ = looks.join(ready, "seq", "left_semi").join(there.select("seq", F.col("post_id").alias("own")), ["seq", "own"], "left_anti")
         hit = open_.join(there.select("seq", F.col("post_id").alias("other")), ["seq", "other"]).groupBy("seq").agg(F.min_by("other", F.struct(-F.col("ratio"), F.col("other"))).alias("post_id"))
         made = written(made.unionByName(hit.select("post_id", "seq")), "deletions")

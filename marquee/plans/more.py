@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.functions import dates, display, html, pages, urls
+from marquee.functions import dates, display, headings, html, pages, urls
 from marquee.functions import text as T
 from marquee.operators import fold, match, reports, upkeep
 from marquee.plans.registry import _FP, _TITLES, register
@@ -450,3 +450,20 @@ def a18_fingerprint_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def f3_clean_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All titles as they are, those that hold typed signs too."""
     return B.posts(spark, sf_dir).select("post_id", T.clean_unicode(F.col("post_title")).alias("title"))
+
+
+@register(f"""WITH {B.LISTINGS} SELECT post_id AS page_id, i AS pos, 'Act ' || i AS title, CASE WHEN post_id % 3 = 0 THEN '/event/' || post_id || '-' || i ELSE '/p' || i || '-' || post_id END AS href, post_id % 3 <> 0 AS orphan
+  FROM listings, unnest(range(0, 3)) AS t(i) WHERE post_id % 3 <> 2""")
+def a14_orphan_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page a listing: headings with links of one segment, posters beside plain headings, or headings that have no link near them."""
+    def card(i: int) -> Column:
+        title, link = F.lit(f"<h3>Act <i>{i}</i></h3>"), F.concat(F.lit(f'<a href="/p{i}-'), _s(_n()), F.lit('"><img src="p.png"></a>'))
+        own = F.concat(F.lit('<h3><a href="/event/'), _s(_n()), F.lit(f'-{i}">Act <i>{i}</i></a></h3>'))
+        far = F.concat(link, F.lit("<p></p><br><p></p>"), title)
+        return F.concat(F.lit("<div>"), F.when(_n() % 3 == 0, own).when(_n() % 3 == 1, F.concat(link, F.lit("<br>"), title)).otherwise(far), F.lit("</div>"))
+
+    page = F.concat(F.lit("<nav><h2><a href='/about'>About</a></h2></nav><h2>June 2026</h2>"), *[card(i) for i in range(3)], F.lit("<footer><h4><a href='/jobs'>Jobs</a></h4></footer>"))
+    rows = B.listings(spark, sf_dir).select(_n().alias("page_id"), page.alias("html"))
+    found = headings.event_headings(rows)
+    number = F.regexp_extract("title", r"(\d+)$", 1).cast("long")
+    return found.select("page_id", number.alias("pos"), "title", "href", "orphan")
