@@ -29,6 +29,10 @@ PLAIN_WORDS = (
     "hall", "room", "house", "theater", "theatre", "arena", "field", "park", "music", "center", "amphitheater", "summit", "moon", "east", "west", "north",
     "south", "grand", "royal", "national", "first", "bank", "plus", "lounge", "stage", "live", "the", "and", "auditorium",
 )
+# Dates in a page's text, and the marks of feeds in the order in which they count.
+DATES = (r"\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\s+\d{1,2}", r"\b\d{1,2}/\d{1,2}/\d{2,4}\b")
+JSONLD_EVENT = r'"@type"\s*:\s*"Event"'
+FEEDS = (("tec_html", ("tribe-events", "the-events-calendar")), ("mec_html", ("mec-event", "modern-events-calendar")), ("rhp", ("rhp_events", "rhpEvents")))
 
 
 def _has(text: Column, mark: str) -> Column:
@@ -51,18 +55,17 @@ def detect_render_engine(html: Column) -> Column:
 def has_no_static_content(html: Column) -> Column:
     """Whether a page has neither a JSON-LD event, nor a calendar file, nor a date in its text."""
     low = F.lower(F.coalesce(html, F.lit("")))
-    dated = low.rlike(r"\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\s+\d{1,2}") | low.rlike(r"\b\d{1,2}/\d{1,2}/\d{2,4}\b")
+    dated = low.rlike("|".join(DATES))
     return ~(_has(F.replace(low, F.lit(" ")), '"@type":"event"') | _has(low, ".ics") | dated)
 
 
 def detect_feed(html: Column) -> Column:
     """jsonld, tec_html, mec_html or rhp, by the first sign that a page shows; null for none."""
     t = F.coalesce(html, F.lit(""))
-    either = lambda *marks: F.exists(F.array(*[F.lit(m) for m in marks]), lambda m: F.contains(t, m))
-    return (
-        F.when(t.rlike(r'"@type"\s*:\s*"Event"'), "jsonld").when(either("tribe-events", "the-events-calendar"), "tec_html")
-        .when(either("mec-event", "modern-events-calendar"), "mec_html").when(either("rhp_events", "rhpEvents"), "rhp")
-    )
+    out = F.when(t.rlike(JSONLD_EVENT), "jsonld")
+    for feed, marks in FEEDS:
+        out = out.when(F.exists(F.array(*[F.lit(m) for m in marks]), lambda m: F.contains(t, m)), feed)
+    return out
 
 
 def is_calendar_file(body: Column) -> Column:
