@@ -93,13 +93,15 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The statistics and the base rule of op2, which SQL can express."""
-    return op2_rules(spark, sf_dir).drop("kept")
+    """The statistics and the base rule of op2, which SQL can express; no rule is learned."""
+    out = rules.apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text"), [])
+    return out.select("doc_id", *(f"stats.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), "base_failed")
 
 
 def base_span_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many base spans op6 finds, which SQL can express."""
-    return op6_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+    """How many base spans op6 finds, which SQL can express; nothing is judged by its novelty."""
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"), keep=["doc_id"], redact=False, novel=False)
+    return found.select("doc_id", *(f"found.{c}" for c in ("n_assign", "n_access", "n_hex")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -139,10 +139,12 @@ def novel_spans(text: str, base: list[tuple[int, int, str]], novelty: Novelty, t
     return out
 
 
-def scan(text: str | None, novelty: Novelty, threshold: float = 0.85) -> tuple[list, list]:
-    """(base spans, all spans) of a text, each (start, end, kind) in order."""
+def scan(text: str | None, novelty: Novelty | None, threshold: float = 0.85) -> tuple[list, list]:
+    """(base spans, all spans) of a text, each (start, end, kind) in order; base spans alone without a novelty."""
     text = text or ""
     base = base_spans(text)
+    if novelty is None:
+        return base, base
     return base, sorted(base + novel_spans(text, base, novelty, threshold), key=lambda s: (s[0], KINDS.index(s[2])))
 
 
@@ -163,12 +165,14 @@ def redacted(text: str, spans: list, mark: str = "[SECRET]") -> str:
 FIELDS = [("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string()), ("redacted", pa.string())]
 
 
-def find_secrets(df: DataFrame, text_col: str = "text", threshold: float = 0.85, name: str = "found", keep: list[str] | None = None, redact: bool = True) -> DataFrame:
-    """The columns of df (or those in keep) with a struct: n_assign, n_access, n_hex, base_sha256, spans, and the redacted text."""
+def find_secrets(df: DataFrame, text_col: str = "text", threshold: float = 0.85, name: str = "found", keep: list[str] | None = None, redact: bool = True, novel: bool = True) -> DataFrame:
+    """The columns of df (or those in keep) with a struct: n_assign, n_access, n_hex, base_sha256, spans, and the redacted text.
+
+    Without ``novel`` the fixed forms alone are looked for."""
     fields = FIELDS if redact else FIELDS[:-1]
 
     def make() -> callable:
-        novelty = Novelty()
+        novelty = Novelty() if novel else None
 
         def found(texts: list[str | None]) -> list[pa.Array]:
             rows = []
