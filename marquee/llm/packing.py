@@ -177,7 +177,7 @@ def _tokenise(tokenizer: str, end_id: int) -> callable:
         if tokenizer not in _HELD:
             _HELD[tokenizer] = WordTokens(tokenizer)
         tokens = _HELD[tokenizer]
-        for part in slices(batches, 2048, 4 << 20):
+        for part in slices(batches, 1024, 1 << 20):
             ids = tokens(part.column(1), end_id)
             yield pa.RecordBatch.from_arrays([part.column(0), pc.divide(pc.binary_length(ids).cast(pa.int64()), tokens.kind.itemsize), ids], ["id", "doc_tokens", "ids"])
 
