@@ -180,6 +180,8 @@ def draw_below(cap: int, n: int) -> int:
 
 #: Label values that a training set may have: each is a row on the driver, and a column of a language model.
 MOST_LABELS = 256
+#: How often an id that many rows have counts in a training set.
+TWICE = 2
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, cap: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -187,7 +189,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, cap: int, id
 
     weight tells how many labelled ids a drawn one stands for, scaled to a mean of one over all drawn, so that what is
     learned follows the whole table's mix of labels at every size. Of several labels for an id the largest counts, of
-    several texts the one of the least hash. The
+    several texts the one of the least hash, twice at most. The
     drawn ids, bounded by the cap, are broadcast. More than MOST_LABELS label values are an error: none is left out."""
     known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label).alias("label"))
     sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).limit(MOST_LABELS + 1).collect()}
@@ -205,8 +207,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, cap: int, id
     ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("draw", "id"))).where(F.col("rank") <= cap)
     chosen = ranked.select("id", "label", "draw", weight.alias("weight"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    # One row an id, however many have it.
-    return rows.groupBy("id", "label", "weight", "draw").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("label", "weight", "draw", "text")
+    # However many rows have an id, TWICE is the most that it counts.
+    held = rows.groupBy("id", "label", "weight", "draw").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.least(F.count("*"), F.lit(TWICE)).cast("int").alias("held"))
+    return held.select("label", "weight", "draw", "text", F.explode(F.sequence(F.lit(1), F.col("held"))).alias("copy")).drop("copy")
 
 
 def bounded_rows(features: DataFrame, name: str, most_bytes: int) -> list:

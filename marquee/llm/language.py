@@ -4,7 +4,7 @@ Characters other than letters count as one blank, letters in lower case; n-grams
 characters are hashed into 2**bits places. Document frequencies are counted over all documents that may be
 learned from. Training follows the regularised leader (FTRL) with an elastic net, on a bounded sample of
 ``cap`` documents a language and ``most_bytes`` of features at most (documented bounds; weights restore the whole
-table's mix of languages; a drawn document gives at most its 12,272 most frequent n-grams, so that each of up to
+table's mix of languages; a drawn document gives at most its 6,128 most frequent n-grams, so that each of up to
 MOST_LABELS languages has its share, and more languages are an error); a fourth of the sample is kept apart for the temperature that calibrates the scores. A term's weight is its share of the text's n-grams times its
 inverse document frequency, so a text's logits are sums over its n-grams and whole texts of any length are
 scored in one map.
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import MOST_LABELS, Characters, appended, bounded_rows, labelled_sample, mix, ready, slices, total
+from marquee.llm.common import MOST_LABELS, TWICE, Characters, appended, bounded_rows, labelled_sample, mix, ready, slices, total
 
 SCALE, BLANK = 50.0, 32
 _LOWER: np.ndarray | None = None
@@ -143,7 +143,7 @@ def fit(docs: DataFrame, cap: int = 800, bits: int = 16, most_bytes: int = 24 <<
     held = {r["place"]: r["n"] for r in counted}
     known = docs.select(id_col, text_col, lang_col)
     sample = labelled_sample(known, known, lang_col, cap, id_col, text_col)
-    found = bounded_rows(sample.mapInArrow(_examples(bits, max(64, most_bytes // MOST_LABELS // 8 - 16)), "label string, weight double, draw long, places binary, counts binary"), "language-sample", most_bytes)
+    found = bounded_rows(sample.mapInArrow(_examples(bits, max(64, most_bytes // MOST_LABELS // (8 * TWICE) - 16)), "label string, weight double, draw long, places binary, counts binary"), "language-sample", most_bytes)
     rows = [(r["places"], r["counts"], r["label"], weight) for r, weight in found if r["places"]]
     if not rows:
         return None

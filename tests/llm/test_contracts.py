@@ -106,12 +106,24 @@ def test_same_as_sql(spark, tables):
     for t in ("documents", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tables}/{t}.parquet/*.parquet'" + f" WHERE {t[:3] if t == 'documents' else 'page'}_id IS NOT NULL")
     for name, sql in queries.ORACLES.items():
+        if name in ("op11_collocations", "op12_sharding"):  # a row follows from all others, those of null ids too
+            continue
         got, want = queries.QUERIES[name](spark, tables), con.sql(sql)
         columns = sorted(got.columns)
         rows = [str(tuple(r)) for r in got.where(f"{'doc_id' if 'doc_id' in columns else 'page_id'} IS NOT NULL").select(columns).collect()]
         assert sorted(rows) == sorted(str(r) for r in want.project(",".join(columns)).fetchall()), name
 
 
+@pytest.mark.parametrize("name", ["op11_collocations", "op12_sharding"])
+def test_whole_tables_same_as_sql(spark, tables, name):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tables}/documents.parquet/*.parquet'")
+    got, want = queries.QUERIES[name](spark, tables), con.sql(queries.ORACLES[name])
+    columns = sorted(got.columns)
+    rows = sorted(str(tuple(r)) for r in got.select(columns).collect())
+    assert rows == sorted(str(r) for r in want.project(",".join(columns)).fetchall()) and len(rows) > 5
+
+
 CLASHES = ["score", "lang_pred", "Lang_Score", "found", "stats", "rule", "base_failed", "kept", "label", "weight", "draw", "id", "row", "ids", "component_id", "n", "predicted"]
 
 
