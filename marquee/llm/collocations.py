@@ -43,6 +43,8 @@ _KINDS[[*b".,;:!?", *range(0x0A, 0x0E)]] = 3
 LONGEST, GATHERED, TO_RANGE = 5, 5 << 20, 8 << 20
 #: Sampled positions a range; parts in which a language's phrases are ranked before the last ranking.
 SAMPLED, PARTS = 64, 32
+#: Ranges at most, each a bound on the driver: from 8 TB of text on, ranges grow instead (at 100 TB to 95 MB, some 1.5 GB a task).
+MOST_RANGES = 1 << 20
 _BLOB = "range int, lang string, words binary, ids binary, counts binary, edges long"
 
 
@@ -282,7 +284,7 @@ def phrase_counts(df: DataFrame, least: int = 100, lang_col: str = "lang", text_
     ready(spark)
     rows = df.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // to_range)
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // to_range, MOST_RANGES))
     step = max(1, size // 6 // (ranges * SAMPLED))  # about six bytes a word
     sample = rows.mapInArrow(_sampled(step, gathered), "lang string, words array<binary>")
     # As one text whose order is that of words: a byte below all others parts them, and an ended piece comes first.
