@@ -7,12 +7,15 @@ still open inside its element; one without a start is ignored."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 from marquee.functions.dates import MONTH_YEAR
+from marquee.tables import ready
 
 # Elements that have no end tag, headings, and parts of a page that hold no content of its own.
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
@@ -20,120 +23,87 @@ HEADS, CHROME = ("h1", "h2", "h3", "h4"), ("nav", "footer", "header")
 #: Siblings to either side that may hold a heading's link.
 HOPS = 3
 
-_CHILD, _WAITS, _FOUND = "struct<heading: boolean, href: string>", "struct<at: int, title: string, left: int>", "struct<at: int, title: string, href: string, orphan: boolean>"
-_FRAME = f"struct<name: string, at: int, href: string, chrome: boolean, inside: boolean, text: string, recent: array<{_CHILD}>, waits: array<{_WAITS}>>"
-_STATE = f"struct<stack: array<{_FRAME}>, found: array<{_FOUND}>>"
-
-
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def _none(kind: str) -> Column:
-    return F.array().cast(f"array<{kind}>")
-
-
-def _state(stack: Column, found: Column) -> Column:
-    return F.struct(stack.alias("stack"), found.alias("found"))
-
-
-def _changed(frame: Column, **fields: Column) -> Column:
-    names = ("name", "at", "href", "chrome", "inside", "text", "recent", "waits")
-    return F.struct(*[fields.get(n, frame[n]).alias(n) for n in names])
-
-
-def _top(state: Column) -> Column:
-    return F.element_at(state["stack"], -1)
-
-
-def _on_top(state: Column, frame: Column, gone: int) -> Column:
-    """state with the last ``gone`` frames replaced by one."""
-    kept = F.slice(state["stack"], F.lit(1), F.size(state["stack"]) - gone)
-    return _state(F.concat(kept, F.array(frame)), state["found"])
-
-
-def _pushed(state: Column, tag: Column) -> Column:
-    def frame(top: Column) -> Column:
-        head = tag["name"].isin(*HEADS)
-        return F.struct(
-            tag["name"].alias("name"), tag["at"].alias("at"), tag["href"].alias("href"), (top["chrome"] | tag["name"].isin(*CHROME)).alias("chrome"),
-            (top["inside"] | head).alias("inside"), F.lit("").alias("text"), _none(_CHILD).alias("recent"), _none(_WAITS).alias("waits"),
-        ).cast(_FRAME)
-
-    return _on_top(state, _let(_top(state), frame), 0)
-
-
-def _ended(state: Column) -> Column:
-    """state with its last element ended."""
-
-    def near(recent: Column) -> Column:
-        """The link of the nearest sibling before that has one."""
-        start = F.struct(F.lit(False).alias("stop"), F.lit(None).cast("string").alias("href"))
-        look = lambda s, c: F.when(s["stop"], s).otherwise(F.struct((c["heading"] | c["href"].isNotNull()).alias("stop"), F.when(~c["heading"], c["href"]).alias("href")))
-        return F.aggregate(F.reverse(recent), start, look)["href"]
-
-    def joined(pair: Column) -> Column:
-        top, outer, before = pair["top"], pair["outer"], pair["before"]
-        head = top["name"].isin(*HEADS)
-        title = F.trim(F.regexp_replace(top["text"], r"\s+", " "))
-        counts = head & ~top["chrome"] & ~title.rlike(f"(?i)^{MONTH_YEAR}$")
-        link = F.coalesce(top["href"], before)
-        own = F.when(counts & link.isNotNull(), F.array(F.struct(top["at"].alias("at"), title.alias("title"), link.alias("href"), top["href"].isNull().alias("orphan")).cast(_FOUND))).otherwise(_none(_FOUND))
-        met = F.when(~head & top["href"].isNotNull(), F.transform(outer["waits"], lambda w: F.struct(w["at"].alias("at"), w["title"].alias("title"), top["href"].alias("href"), F.lit(True).alias("orphan")).cast(_FOUND))).otherwise(_none(_FOUND))
-        fewer = F.filter(F.transform(outer["waits"], lambda w: F.struct(w["at"].alias("at"), w["title"].alias("title"), (w["left"] - 1).alias("left")).cast(_WAITS)), lambda w: w["left"] > 0)
-        waits = F.when(head | top["href"].isNotNull(), _none(_WAITS)).otherwise(fewer)
-        new = F.when(counts & link.isNull(), F.array(F.struct(top["at"].alias("at"), title.alias("title"), F.lit(HOPS).alias("left")).cast(_WAITS))).otherwise(_none(_WAITS))
-        child = F.array(F.struct(head.alias("heading"), top["href"].alias("href")).cast(_CHILD))
-        last = F.slice(outer["recent"], F.greatest(F.size(outer["recent"]) - (HOPS - 2), F.lit(1)), F.lit(HOPS - 1))
-        frame = _changed(outer, href=F.coalesce(outer["href"], top["href"]), text=F.when(outer["inside"], F.concat(outer["text"], F.lit(" "), top["text"])).otherwise(outer["text"]), recent=F.concat(last, child), waits=F.concat(waits, new))
-        return F.struct(frame.alias("frame"), F.concat(state["found"], own, met).alias("found"))
-
-    outer = F.element_at(state["stack"], -2)
-    pair = F.struct(_top(state).alias("top"), outer.alias("outer"), near(outer["recent"]).alias("before"))
-    kept = F.slice(state["stack"], F.lit(1), F.size(state["stack"]) - 2)
-    return _let(_let(pair, joined), lambda r: _state(F.concat(kept, F.array(r["frame"])), r["found"]))
-
-
-def _ended_times(state: Column, n: Column) -> Column:
-    return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), state, lambda s, _: _ended(s))).otherwise(state)
-
-
-def _step(state: Column, tag: Column) -> Column:
-    names = F.reverse(F.transform(state["stack"], lambda f: f["name"]))
-    closed = _ended_times(state, F.array_position(names, tag["name"]).cast("int"))  # 0: not open; the page itself has no tag's name
-    moved = F.when(tag["close"], closed).when(tag["name"].isin(*VOID), _ended(_pushed(state, tag))).otherwise(_pushed(state, tag))
-    said = lambda s: _let(_top(s), lambda f: F.when(f["inside"], _on_top(s, _changed(f, text=F.concat(f["text"], F.lit(" "), tag["text"])), 1)).otherwise(s))
-    return F.when(tag["text"] == "", moved).otherwise(_let(moved, said))
-
-
-def _tags(html: Column) -> Column:
-    """The tags of a page in order, each with what text follows it."""
-    plain = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", " ")
-    form = r"""(?s)(</?[a-zA-Z][a-zA-Z0-9]*(?:[^>"']|"[^"]*"|'[^']*')*>)([^<]*)"""
-    both = F.arrays_zip(F.regexp_extract_all(plain, F.lit(form), F.lit(1)).alias("tag"), F.regexp_extract_all(plain, F.lit(form), F.lit(2)).alias("text"))
-    part = lambda x, pattern: F.regexp_extract(x, pattern, 1)
-
-    def read(x: Column, i: Column) -> Column:
-        name, href = F.lower(part(x["tag"], r"^</?([a-zA-Z][a-zA-Z0-9]*)")), part(x["tag"], r"(?is)\shref\s*=\s*[\"']([^\"']+)[\"']")
-        return F.struct(F.startswith(x["tag"], F.lit("</")).alias("close"), name.alias("name"), F.when((name == "a") & (href != ""), href).alias("href"), F.trim(F.regexp_replace(x["text"], r"\s+", " ")).alias("text"), i.cast("int").alias("at"))
-
-    return F.transform(both, read)
+_FOUND = ArrayType(StructType([StructField("at", IntegerType()), StructField("title", StringType()), StructField("href", StringType()), StructField("orphan", BooleanType())]))
+_UNSEEN = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>", re.I | re.S | re.A)
+#: A tag, whether it is an end tag, its name, and what text follows it.
+_TAG = re.compile(r"""(<(/?)([a-zA-Z][a-zA-Z0-9]*)(?:[^>"']|"[^"]*"|'[^']*')*>)([^<]*)""", re.A)
+_HREF = re.compile(r"""\shref\s*=\s*["']([^"']+)["']""", re.I | re.A)
+_BLANKS, _MONTH = re.compile(r"\s+", re.A), re.compile(rf"{MONTH_YEAR}[\x85\u2028\u2029]?\Z", re.I | re.A)
+
+
+class _Frame:
+    """An open element."""
+
+    __slots__ = ("at", "chrome", "href", "inside", "name", "recent", "text", "waits")
+
+    def __init__(self, name: str, at: int, href: str | None, chrome: bool, inside: bool) -> None:
+        self.name, self.at, self.href, self.chrome, self.inside = name, at, href, chrome, inside
+        self.text, self.recent, self.waits = [], [], []
+
+
+def _end(stack: list[_Frame], found: list[tuple]) -> None:
+    """Ends the last element of the stack."""
+    top, outer = stack.pop(), stack[-1]
+    head, own = top.name in HEADS, top.href
+    if head:
+        title = _BLANKS.sub(" ", " ".join(top.text)).strip(" ")
+        counts = not top.chrome and not _MONTH.match(title)
+        heading, before = next((c for c in reversed(outer.recent) if c[0] or c[1] is not None), (False, None))
+        link = own if own is not None or heading else before
+        if counts and link is not None:
+            found.append((top.at, title, link, own is None))
+        outer.waits = [(top.at, title, HOPS)] if counts and link is None else []
+    elif own is not None:
+        found += [(at, title, own, True) for at, title, _ in outer.waits]
+        outer.waits = []
+    else:
+        outer.waits = [(at, title, left - 1) for at, title, left in outer.waits if left > 1]
+    outer.recent = [*outer.recent[1 - HOPS :], (head, own)]
+    if outer.href is None:
+        outer.href = own
+    if outer.inside:
+        outer.text += top.text
+
+
+def _fold(html: str) -> list[tuple]:
+    stack, found = [_Frame("", -1, None, False, False)], []
+    for at, (tag, close, name, text) in enumerate(_TAG.findall(_UNSEEN.sub(" ", html))):
+        name = name.lower()
+        if close:
+            # The innermost open one; the page itself has no tag's name.
+            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].name == name), 0)
+            for _ in range(len(stack) - k if k else 0):
+                _end(stack, found)
+        else:
+            outer, href = stack[-1], _HREF.search(tag) if name == "a" else None
+            stack.append(_Frame(name, at, href and href[1], outer.chrome or name in CHROME, outer.inside or name in HEADS))
+            if name in VOID:
+                _end(stack, found)
+        if stack[-1].inside:
+            stack[-1].text.append(text)
+    while len(stack) > 1:
+        _end(stack, found)
+    return sorted(found)
+
+
+@F.pandas_udf(_FOUND)
+def _headings(html: pd.Series) -> pd.Series:
+    names = _FOUND.elementType.names
+    return html.map(lambda page: [dict(zip(names, h, strict=True)) for h in _fold(page or "")])
 
 
 def headings(html: Column) -> Column:
     """An array of (at, title, href, orphan): headings with a link of their own or (orphan) that of a sibling, but for months and
     those of navigation, headers and footers. at: the heading's place among the page's tags, by which it is sorted."""
-    page = F.struct(F.lit("").alias("name"), F.lit(-1).alias("at"), F.lit(None).cast("string").alias("href"), F.lit(False).alias("chrome"), F.lit(False).alias("inside"), F.lit("").alias("text"), _none(_CHILD).alias("recent"), _none(_WAITS).alias("waits")).cast(_FRAME)
-    folded = F.aggregate(_tags(html), _state(F.array(page), _none(_FOUND)).cast(_STATE), _step)
-    return F.array_sort(_let(folded, lambda s: _ended_times(s, F.size(s["stack"]) - 1)["found"]))
+    ready()
+    return _headings(html)
 
 
 def event_headings(pages: DataFrame, least: int = 3, share: float = 0.5) -> DataFrame:
     """(page_id, at, title, href, orphan): the headings of pages (page_id, html) that lead to events: of three headings with a link or
     more those of the most frequent first path segment (of equally frequent ones the first), if three and half of them have
     it; else the orphans, if they are three or more, for sites whose links share no segment."""
-    rows = pages.select("page_id", F.explode(headings(F.col("html"))).alias("h")).select("page_id", "h.*")
+    rows = pages.select("page_id", headings(F.col("html")).alias("found")).select("page_id", F.explode("found").alias("h")).select("page_id", "h.*")
     path = F.regexp_replace("href", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://[^/?#]*)?", "")
     rows = rows.withColumn("segment", F.regexp_extract(path, r"^/*([^/?#]+)", 1))
     each = rows.groupBy("page_id", "segment").agg(F.count("*").alias("n"), F.min("at").alias("first"), F.count_if("orphan").alias("orphans"))
