@@ -82,7 +82,9 @@ def posts_of(observed: DataFrame, deleted: DataFrame | None = None) -> DataFrame
     observed: the columns of SCHEMA with fp, cancels, batch and n_before; deleted (fp, last), if it is known already."""
     placed = _placed(observed)
     gone = _deleted(placed) if deleted is None else deleted
+    # Written once: the fold reads it several times, and what is stored lies in a file a bucket at least.
     live = placed.where("NOT cancels").join(gone, "fp", "left").where("last IS NULL OR at > last")
+    live = written(live.select("fp", "at", "title", "start_utc", "ticket_url", "source_name", "description", "image_url", "category", "city_slug", "n_before"), "live")
     start = F.col("start_utc")
     seen = live.select(F.col("fp").alias("post_id"), F.col("at").alias("seq"), "title", start, *(start.alias(c) for c in TIMES if c not in ("start_utc", "timezone")), F.lit("UTC").alias("timezone"), "ticket_url", "source_name", "description", "image_url", "category")
     city = live.groupBy(F.col("fp").alias("post_id")).agg(F.min_by("city_slug", "at").alias("city_slug"), F.sum(F.coalesce("n_before", F.lit(1))).cast("long").alias("n_observed"))

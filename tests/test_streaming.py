@@ -132,3 +132,20 @@ def test_a_snapshot_rewrites_touched_buckets_alone(spark, tmp_path):
 
 def test_an_empty_store_has_no_posts(spark, tmp_path):
     assert ingest.read_posts(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_a_fold_reads_what_was_observed_once(spark):
+    rows = spark.range(40).selectExpr(
+        "id AS seq", "'Night Market' AS title", "'' AS description", "'2026-07-04 20:00:00' AS start_utc", "'tampa' AS city_slug", "'' AS image_url", "'https://v.example.com/' || id AS ticket_url",
+        "'venue' AS source_name", "'c' AS category", "'f' || id % 8 AS fp", "false AS cancels", "0L AS batch", "1L AS n_before",
+    )
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(parts):
+        for part in parts:
+            read.add(part.num_rows)
+            yield part
+
+    none = spark.createDataFrame([], "fp string, last long")
+    assert sum(r["n_observed"] for r in ingest.posts_of(rows.mapInArrow(counted, rows.schema), none).collect()) == 40
+    assert read.value == 40
