@@ -132,9 +132,10 @@ def drop_cancelled(new: DataFrame, existing: DataFrame) -> tuple[DataFrame, Data
     Only titles from which the promotional rule takes the cancellation off count."""
     gone = cancels(F.col("title"))
     fp = T.fingerprint(F.col("title"), F.col("start_utc"), F.col("city_slug"))
-    off = new.where(gone).withColumn("fp", fp)
-    known = existing.withColumn("fp", fp)
-    exact = off.select("seq", "fp").join(known.select("fp", "post_id"), "fp").groupBy("seq").agg(F.min("post_id").alias("post_id"))
+    # Both are read several times: their titles are told and fingerprinted once.
+    off = written(new.where(gone).withColumn("fp", fp), "cancelled")
+    known = written(existing.select("post_id", "title", "day", "city_slug", fp.alias("fp")), "cancelled-known")
+    exact = written(off.select("seq", "fp").join(known.select("fp", "post_id"), "fp").groupBy("seq").agg(F.min("post_id").alias("post_id")), "cancelled-exact")
     rest = off.join(exact, "seq", "left_anti")
-    like = match_existing(rest.select("seq", "title", "day", "city_slug"), existing.select("post_id", "title", "day", "city_slug"))
+    like = match_existing(rest.select("seq", "title", "day", "city_slug"), known.select("post_id", "title", "day", "city_slug"))
     return new.where(~gone), exact.select("post_id").union(like.select("post_id")).distinct()

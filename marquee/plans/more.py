@@ -376,7 +376,8 @@ def m1_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(f"""WITH {B.LISTINGS}, {_TITLES}, f AS (SELECT post_id, post_title, {_FP} AS fp FROM titles WHERE {_TITLED}), n AS (SELECT * FROM f WHERE post_id % 2 = 1 AND post_id % 6 = 1 AND NOT regexp_matches(post_title, '[()|*&@]')),
   e AS (SELECT fp, min(post_id) AS post_id FROM f WHERE post_id % 2 = 0 GROUP BY 1) SELECT DISTINCT e.post_id FROM n JOIN e USING (fp)""")
 def m6_cancelled_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _listings(spark, sf_dir).withColumn("day", F.substring("start_utc", 1, 10))
+    listed = _listings(spark, sf_dir).withColumn("day", F.substring("start_utc", 1, 10)).select("post_id", "post_title", "start_utc", "day", "city_slug")
+    rows = written(listed, "cancelled-listings")  # texts are read once
     plain = ~F.col("post_title").rlike("[()|*&@]")
     title = F.when((_n() % 6 == 1) & plain, F.concat("post_title", F.lit(" **Cancelled**"))).otherwise(F.col("post_title"))
     new = rows.where(_n() % 2 == 1).select(_n().alias("seq"), title.alias("title"), "start_utc", "day", "city_slug")

@@ -144,3 +144,24 @@ def test_written_tables_can_be_cleared(spark):
     other = folder.replace(spark.sparkContext.applicationId, "another-application")
     os.makedirs(other, exist_ok=True)
     assert os.path.isdir(other) and callable(clear_tables)
+
+
+def test_cancellations_read_their_tables_once(spark):
+    """Titles were read, told and fingerprinted anew for each road to a match."""
+    counted = {"new": spark.sparkContext.accumulator(0), "old": spark.sparkContext.accumulator(0)}
+
+    def through(rows, ident, name):
+        def run(parts):
+            for part in parts:
+                counted[name].add(len(part))
+                yield part
+
+        schema = f"{ident} long, title string, start_utc string, day string, city_slug string"
+        return spark.createDataFrame(rows, schema).mapInPandas(run, schema)
+
+    at = ("2026-07-04 20:00:00", "2026-07-04", "tampa")
+    new = [(1, "Night Market by the River **Cancelled**", *at), (2, "Moonlight Paddle on the Bays **Cancelled**", *at), (3, "Jazz in the Park", *at)]
+    old = [(10, "Night Market by the River", *at), (11, "Moonlight Paddle on the Bay", *at), (12, "Jazz in the Park", *at)]
+    gone = fold.drop_cancelled(through(new, "seq", "new"), through(old, "post_id", "old"))[1]
+    assert sorted(r[0] for r in gone.collect()) == [10, 11]
+    assert (counted["new"].value, counted["old"].value) == (3, 3)
